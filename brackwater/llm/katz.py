@@ -154,9 +154,10 @@ ANSWERS = "kind string, lot string, bucket int, counts binary, extra binary, spe
 _ANSWER = pa.schema([("kind", pa.string()), ("lot", pa.string()), ("bucket", pa.int32()), ("counts", pa.binary()), ("extra", pa.binary()), ("spectrum", pa.list_(pa.int64()))])
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places of its keys, which keep their order)."""
-    b = _buckets(keys, buckets)
+def _by_bucket(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its keys, which keep their order), from the keys' buckets."""
+    if not len(b):
+        return
     order = np.argsort(b, kind="stable")
     cuts = np.flatnonzero(np.diff(b[order], prepend=np.uint64(1 << 63)))
     for x, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
@@ -181,7 +182,7 @@ def count_words(coded: DataFrame, buckets: int) -> DataFrame:
             for row in batch.to_pylist():
                 x = Lot(row)
                 counts = np.bincount(x.tokens[x.token_train], minlength=len(x.words)).astype(np.uint32)
-                yield pa.RecordBatch.from_pylist([{"lot": x.name, "bucket": b, "keys": pack_sorted(x.words[at]), "counts": pack(counts[at])} for b, at in _by_bucket(x.words, buckets)], sent)
+                yield pa.RecordBatch.from_pylist([{"lot": x.name, "bucket": b, "keys": pack_sorted(x.words[at]), "counts": pack(counts[at])} for b, at in _by_bucket(_buckets(x.words, buckets))], sent)
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(k, np.uint64) for k in g["keys"]]
@@ -209,11 +210,11 @@ def _gather(coded: DataFrame, *tables: DataFrame) -> DataFrame:
     return out
 
 
-def _fill(keys: np.ndarray, buckets: int, answers: list[dict] | None, column: str, dtype) -> np.ndarray:
-    """Answers in the order of keys."""
+def _fill(dealt: np.ndarray, answers: list[dict] | None, column: str, dtype) -> np.ndarray:
+    """Answers in the order of the keys whose buckets `dealt` has."""
     got = {a["bucket"]: a[column] for a in answers or ()}
-    out = np.zeros(len(keys), dtype)
-    for b, at in _by_bucket(keys, buckets) if len(keys) else ():
+    out = np.zeros(len(dealt), dtype)
+    for b, at in _by_bucket(dealt):
         out[at] = unpack(got[b], dtype)
     return out
 
@@ -251,71 +252,97 @@ class Model:
         self.orders: list[tuple[int, int, Discounts]] = []  # n-grams' buckets, histories' buckets, discounts
 
 
-def _histories(x: Lot, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams' keys, tokens' places among them, and distinct histories' keys, tokens' places among them, n-grams' histories."""
-    h = x.history(n - 1)
-    keys, first, back = np.unique(mix(h, x.hashes), return_index=True, return_inverse=True)
-    hk, hback = np.unique(h, return_inverse=True)
-    return keys, back, hk, hback, h[first]
+def _word_counts(x: Lot, model: Model, row: dict) -> np.ndarray:
+    return _fill(_buckets(x.words, model.word_buckets), row["a0"], "counts", np.int64)
+
+
+class Grams:
+    """A lot's distinct n-grams by history, then key; `back` has tokens' places among them. Likewise its histories, `hist` and `hback`.
+
+    An n-gram is told by its history's hash and 48 bits of its own. Its bucket is its history's, unless the history's last word is frequent: then
+    its n-grams are dealt to as many buckets as that word's count asks for.
+    """
+
+    def __init__(self, x: Lot, n: int, word_counts: np.ndarray, buckets: int):
+        h = x.history(n - 1)
+        keys, first, back = np.unique(mix(h, x.hashes), return_index=True, return_inverse=True)
+        order = np.lexsort((keys, h[first]))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.first, self.back, self.key, self.of = first[order], place[back], keys[order] >> np.uint64(16), h[first[order]]
+        self.hist, self.hback = np.unique(h, return_inverse=True)
+        before = np.where(self.first == x.starts[np.searchsorted(x.starts, self.first, "right") - 1], -1, self.first - 1)
+        end = np.searchsorted(x.words, np.uint64(xxhash.xxh64_intdigest(b"")))
+        last = word_counts[np.where(before < 0, end, x.tokens[before])]
+        share = self.key % (1 + last * 8 // PER_BUCKET).astype(np.uint64)
+        self.bucket = _buckets(mix(self.of, share), buckets)
 
 
 def _lower(x: Lot, model: Model, row: dict, n: int) -> np.ndarray:
     """P(w | the n - 1 words before) of each token, recursively from the answers to orders up to n."""
+    words = _word_counts(x, model, row)
     if n == 1:
-        return model.uni.p(_fill(x.words, model.word_buckets, row["a0"], "counts", np.int64))[x.tokens]
-    nb, hb, d = model.orders[n - 2]
-    keys, back, hk, hback, _ = _histories(x, n)
-    c = _fill(keys, nb, row[f"a{2 * n - 3}"], "counts", np.int64)[back]
-    ch = _fill(hk, hb, row[f"a{2 * n - 2}"], "counts", np.int64)[hback]
-    alpha = _fill(hk, hb, row[f"a{2 * n - 2}"], "extra", np.float64)[hback]
+        return model.uni.p(words)[x.tokens]
+    buckets, history_buckets, d = model.orders[n - 2]
+    grams, tells = Grams(x, n, words, buckets), row[f"a{2 * n - 2}"]
+    dealt = _buckets(grams.hist, history_buckets)
+    c = _fill(grams.bucket, row[f"a{2 * n - 3}"], "counts", np.int64)[grams.back]
+    ch = _fill(dealt, tells, "counts", np.int64)[grams.hback]
+    alpha = _fill(dealt, tells, "extra", np.float64)[grams.hback]
     below = _lower(x, model, row, n - 1)
     return np.where(c > 0, d.of(c) / np.maximum(ch, 1), np.where(ch > 0, alpha, 1.0) * below)
 
 
+def _values(a: np.ndarray) -> bytes:
+    """Numbers of which many are equal: the distinct ones, and each one's place among them."""
+    distinct, at = np.unique(a, return_inverse=True)
+    return _framed(distinct) + _framed(at.astype(np.uint32))
+
+
+def _valued(data: bytes) -> np.ndarray:
+    distinct, at = _frames(data)
+    return unpack(distinct, np.float64)[unpack(at, np.uint32)]
+
+
 def count_ngrams(coded: DataFrame, tables: list[DataFrame], model: Model, n: int, buckets: int, history_buckets: int) -> DataFrame:
     """Answers with n-grams' totals, spectra, and per bucket what each history gets from it: totals by count class and the lower order's mass."""
     spark = coded.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    sent = pa.schema([("lot", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("hist", pa.binary()), ("below", pa.binary())])
+    sent = pa.schema([("lot", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("hist", pa.binary()), ("counts", pa.binary()), ("below", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 x = Lot(row)
-                keys, back, _, _, hist = _histories(x, n)
-                counts = np.bincount(back[x.token_train], minlength=len(keys)).astype(np.uint32)
-                first = np.zeros(len(keys), np.int64)
-                first[back] = np.arange(len(back))
-                below = _lower(x, shared.value, row, n - 1)[first]
-                # a key that training doesn't have in this lot is only asked for; its history and mass come from a lot that has it
-                rows = []
-                for b, at in _by_bucket(keys, buckets):
-                    mine = at[counts[at] > 0]
-                    rows.append({"lot": x.name, "bucket": b, "keys": pack_sorted(keys[at]), "counts": pack(counts[at]), "hist": pack(hist[mine]), "below": pack(below[mine])})
-                yield pa.RecordBatch.from_pylist(rows, sent)
+                g = Grams(x, n, _word_counts(x, shared.value, row), buckets)
+                counts = np.bincount(g.back[x.token_train], minlength=len(g.key)).astype(np.uint32)
+                below = _lower(x, shared.value, row, n - 1)[g.first]
+                # the lower order's mass matters for n-grams of training only; others just ask for their totals
+                yield pa.RecordBatch.from_pylist(
+                    [{"lot": x.name, "bucket": b, "hist": pack_sorted(g.of[at]), "keys": pack(g.key[at]), "counts": pack(counts[at]), "below": _values(below[at[counts[at] > 0]])} for b, at in _by_bucket(g.bucket)], sent
+                )
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        keys = [unpack_sorted(k, np.uint64) for k in g["keys"]]
+        keys = [unpack(k, np.uint64) for k in g["keys"]]
+        own = _concat([unpack_sorted(h, np.uint64) for h in g["hist"]], np.uint64)
         counts = _concat([unpack(c, np.uint32) for c in g["counts"]], np.uint32)
-        uniq, back = np.unique(_concat(keys, np.uint64), return_inverse=True)
+        uniq, first, back = np.unique(mix(own, _concat(keys, np.uint64)), return_index=True, return_inverse=True)
         total = np.bincount(back, counts, len(uniq)).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
         rows = [("answer", lot, b, pack(total[back[z - len(k) : z]]), None, None) for lot, b, k, z in zip(g["lot"], g["bucket"], keys, ends, strict=True)]
-        hist, below = np.zeros(len(uniq), np.uint64), np.zeros(len(uniq))
-        at = back[counts > 0]
-        hist[at] = _concat([unpack(h, np.uint64) for h in g["hist"]], np.uint64)
-        below[at] = _concat([unpack(v, np.float64) for v in g["below"]], np.float64)
+        hist, below = own[first], np.zeros(len(uniq))
+        below[back[counts > 0]] = _concat([_valued(v) for v in g["below"]], np.float64)
         seen = total > 0
         hs, hat = np.unique(hist[seen], return_inverse=True)
         cls = np.minimum(total[seen], K + 1) - 1
         per = np.stack([np.bincount(hat[cls == r], minlength=len(hs)) for r in range(K + 1)]).astype(np.uint32)
         mass = np.bincount(hat, below[seen], len(hs))
         occurs = np.bincount(hat, total[seen], len(hs)).astype(np.int64)
-        for b, at in _by_bucket(hs, history_buckets) if len(hs) else ():
-            rows.append(("history", None, b, pack_sorted(hs[at]), b"".join(_framed(v) for v in (occurs[at], *per[:, at], mass[at])), None))
+        for b, at in _by_bucket(_buckets(hs, history_buckets)):
+            rows.append(("history", None, b, pack_sorted(hs[at]), b"".join(_framed(v) for v in (occurs[at], *per[:, at])) + _values(mass[at]), None))
         return pd.DataFrame([*rows, ("spectrum", None, int(g["bucket"].iloc[0]), None, None, _spectrum(total))], columns=_ANSWER.names)
 
-    ready = _gather(coded, *tables).mapInArrow(send, "lot string, bucket int, keys binary, counts binary, hist binary, below binary")
+    ready = _gather(coded, *tables).mapInArrow(send, "lot string, bucket int, keys binary, hist binary, counts binary, below binary")
     return materialize(ready.groupBy("bucket").applyInPandas(add, ANSWERS), f"{n}-gram-counts")
 
 
@@ -342,17 +369,19 @@ def back_off(coded: DataFrame, counted: DataFrame, n: int, history_buckets: int,
             for row in batch.to_pylist():
                 x = Lot(row)
                 hk = np.unique(x.history(n - 1))
-                yield pa.RecordBatch.from_pylist([{"kind": "ask", "lot": x.name, "bucket": b, "keys": pack_sorted(hk[at]), "extra": None} for b, at in _by_bucket(hk, history_buckets)], sent)
+                yield pa.RecordBatch.from_pylist([{"kind": "ask", "lot": x.name, "bucket": b, "keys": pack_sorted(hk[at]), "extra": None} for b, at in _by_bucket(_buckets(hk, history_buckets))], sent)
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
         told, asked = g[g["kind"] == "history"], g[g["kind"] == "ask"]
         keys = _concat([unpack_sorted(k, np.uint64) for k in told["keys"]], np.uint64)
         uniq, back = np.unique(keys, return_inverse=True)
         frames = [_frames(e) for e in told["extra"]]
-        column = lambda i, t: np.bincount(back, _concat([unpack(f[i], t) for f in frames], t), len(uniq)) if len(keys) else np.zeros(0)
+        add = lambda parts: np.bincount(back, np.concatenate(parts), len(uniq)) if len(keys) else np.zeros(0)
+        column = lambda i, t: add([unpack(f[i], t) for f in frames])
+        mass = add([unpack(f[K + 2], np.float64)[unpack(f[K + 3], np.uint32)] for f in frames])
         occurs = column(0, np.int64)
         lost = sum(w * column(1 + r, np.uint32) for r, w in enumerate(d.lost))
-        alpha = lost / np.maximum(occurs, 1) / np.maximum(1 - column(K + 2, np.float64), least)
+        alpha = lost / np.maximum(occurs, 1) / np.maximum(1 - mass, least)
         rows = []
         for lot, b, k in zip(asked["lot"], asked["bucket"], asked["keys"], strict=True):
             want = unpack_sorted(k, np.uint64)
@@ -394,7 +423,7 @@ def score(docs: DataFrame, order: int = 2, text: str = "text", lot_tokens: int =
             for row in batch.to_pylist():
                 x, m = Lot(row), shared.value
                 add = lambda v, x=x: np.add.reduceat(v, x.starts)
-                c = _fill(x.words, m.word_buckets, row["a0"], "counts", np.int64)[x.tokens]
+                c = _word_counts(x, m, row)[x.tokens]
                 base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
                 p = np.log10(_lower(x, m, row, order))
                 cols = [pa.array(x.ids, pa.int64()), pa.array(~x.train), pa.array(x.sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(x.ids), total, np.int64)), pa.array(add(base)), pa.array(add(p))]
