@@ -28,7 +28,7 @@ from .common import materialize, ranked
 
 CAPACITY, END_TOKEN = 4096, 1
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 150_000  # per generation: some 30 MB
 #: Stretches of these alone split by _SPLIT as the tokenizer splits them; others go through the whole tokenizer.
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]*")
 _SPLIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
