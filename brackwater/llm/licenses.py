@@ -20,6 +20,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: One-line notices that name a license, shortened to what all their variants share.
 TEMPLATES = {
     "Apache-2.0": "licensed under the apache license version 2 0",
@@ -53,7 +55,7 @@ def strong_words(vectors: dict[str, dict[str, float]], threshold: float) -> list
     weak = {w for v in vectors.values() for w in v}
     strong: set[str] = set()
     for v in vectors.values():
-        for w in sorted(v, key=lambda w: (-v[w], w)):
+        for w in sorted(v, key=lambda w: (-len(w), w)):  # long words are rare in other lines
             if sum(x * x for u, x in v.items() if u in weak) < threshold**2:
                 break
             weak.discard(w)
@@ -108,6 +110,7 @@ def scan(files: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATE
     own = own_license(F.col("text"), templates, threshold)
     dir_of = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     found = files.select(*keep, "path", own.alias("own")).select(*keep, "path", F.col("own.id").alias("own_license"), F.col("own.score").alias("own_score"), dir_of.alias("dir"))
+    found = materialize(found, "own-licenses")  # texts are read once; three tables come from this one
     told = (
         found.where(F.col("own_license").isNotNull() & F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_NAME))
         .groupBy(F.col("dir").alias("at"))
