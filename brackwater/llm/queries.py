@@ -98,7 +98,7 @@ def _escaped(column: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """For op1 and op9 below; those without an entry are held against brute force in tests/llm."""
+    """Queries without an entry are held against brute force, round trips or held-out accuracy in tests/llm."""
     return {
         "op2_chat_format": _CHAT_SQL.format(role=_escaped("role"), text=_escaped("text"), marks=len(chat.TURN + chat.SAYS + chat.END)),
         "op8_license_scan": licenses.oracle(),
