@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, pack, pack_sorted, unpack, unpack_sorted
+from .common import discard, fold, materialize, pack, pack_sorted, unpack, unpack_sorted
 
 K = 5  # counts up to K are discounted by Good-Turing
 HELD_OUT = 1
@@ -201,10 +201,10 @@ def spectrum(answers: DataFrame) -> np.ndarray:
     return np.array([v or 0 for v in row], np.int64)
 
 
-def _gather(coded: DataFrame, *tables: DataFrame) -> DataFrame:
-    """Lots, each with its answers of each table as an array of (bucket, counts, extra)."""
+def _gather(coded: DataFrame, tables: dict[int, DataFrame]) -> DataFrame:
+    """Lots, each with its answers of table i as an array a<i> of (bucket, counts, extra)."""
     out = coded
-    for i, t in enumerate(tables):
+    for i, t in tables.items():
         own = t.where("kind = 'answer'").groupBy(F.col("lot").alias(f"__l{i}")).agg(F.collect_list(F.struct("bucket", "counts", "extra")).alias(f"a{i}"))
         out = out.join(own, F.col("lot") == F.col(f"__l{i}"), "left").drop(f"__l{i}")
     return out
@@ -304,10 +304,9 @@ def _valued(data: bytes) -> np.ndarray:
     return unpack(distinct, np.float64)[unpack(at, np.uint32)]
 
 
-def count_ngrams(coded: DataFrame, tables: list[DataFrame], model: Model, n: int, buckets: int, history_buckets: int) -> DataFrame:
-    """Answers with n-grams' totals, spectra, and per bucket what each history gets from it: totals by count class and the lower order's mass."""
-    spark = coded.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def count_ngrams(coded: DataFrame, model: Model, n: int, buckets: int, history_buckets: int) -> DataFrame:
+    """From lots with their answers to lower orders: answers with n-grams' totals, spectra, and per bucket what each history gets from it: totals by count class and the lower order's mass."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)
     sent = pa.schema([("lot", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("hist", pa.binary()), ("counts", pa.binary()), ("below", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,8 +341,8 @@ def count_ngrams(coded: DataFrame, tables: list[DataFrame], model: Model, n: int
             rows.append(("history", None, b, pack_sorted(hs[at]), b"".join(_framed(v) for v in (occurs[at], *per[:, at])) + _values(mass[at]), None))
         return pd.DataFrame([*rows, ("spectrum", None, int(g["bucket"].iloc[0]), None, None, _spectrum(total))], columns=_ANSWER.names)
 
-    ready = _gather(coded, *tables).mapInArrow(send, "lot string, bucket int, keys binary, hist binary, counts binary, below binary")
-    return materialize(ready.groupBy("bucket").applyInPandas(add, ANSWERS), f"{n}-gram-counts")
+    asked = coded.mapInArrow(send, "lot string, bucket int, keys binary, hist binary, counts binary, below binary")
+    return materialize(asked.groupBy("bucket").applyInPandas(add, ANSWERS), f"{n}-gram-counts")
 
 
 def _framed(a: np.ndarray) -> bytes:
@@ -405,14 +404,18 @@ def score(docs: DataFrame, order: int = 2, text: str = "text", lot_tokens: int =
     coded = lots(docs, text, lot_tokens)
     size = coded.agg(F.sum("n_words"), F.sum("n_tokens")).first()
     word_buckets, gram_buckets = (max(1, -(-(v or 0) // PER_BUCKET)) for v in size)
-    tables = [count_words(coded, word_buckets)]
+    tables = {0: count_words(coded, word_buckets)}
     s = spectrum(tables[0])
     model = Model(word_buckets, Unigrams.of(s))
     for n in range(2, order + 1):
         history_buckets = word_buckets if n == 2 else gram_buckets
-        counted = count_ngrams(coded, tables, model, n, gram_buckets, history_buckets)
+        # lots move once per order, and no longer take up room as shuffle files when their n-grams are sent
+        answered = materialize(_gather(coded, tables), f"{n - 1}-gram-answers")
+        discard(coded, *tables.values())
+        coded = answered
+        counted = count_ngrams(coded, model, n, gram_buckets, history_buckets)
         d = good_turing(np.concatenate([[0], spectrum(counted)[2:]]))
-        tables += [counted, back_off(coded, counted, n, history_buckets, d, model.uni._unknown)]
+        tables = {2 * n - 3: counted, 2 * n - 2: back_off(coded, counted, n, history_buckets, d, model.uni._unknown)}
         model.orders.append((gram_buckets, history_buckets, d))
     total, kinds = model.uni.total, model.uni.kinds
     shared = coded.sparkSession.sparkContext.broadcast(model)
@@ -429,4 +432,4 @@ def score(docs: DataFrame, order: int = 2, text: str = "text", lot_tokens: int =
                 cols = [pa.array(x.ids, pa.int64()), pa.array(~x.train), pa.array(x.sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(x.ids), total, np.int64)), pa.array(add(base)), pa.array(add(p))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _gather(coded, *tables).mapInArrow(rate, SCORES)
+    return _gather(coded, tables).mapInArrow(rate, SCORES)
