@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and would hold it while the JVM needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def fold(doc_id: str | Column, n: int = 5) -> Column:
     """crc32 of doc_id as text, modulo n. A null doc_id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

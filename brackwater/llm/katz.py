@@ -19,7 +19,7 @@ scores are 0 (log10 of 1) and so are scores. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fold, materialize, pack, pack_sorted, unpack, unpack_sorted
+from .common import discard, fold, materialize, pack, pack_sorted, release, unpack, unpack_sorted
 
 K = 5  # counts up to K are discounted by Good-Turing
 HELD_OUT = 1
 LOT_TOKENS = 1_000_000
-PER_BUCKET = 1_500_000
+PER_BUCKET = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,6 +169,29 @@ def _spectrum(counts: np.ndarray) -> list[int]:
     return [int(counts.sum()), int((counts > 0).sum()), *(int((counts == r).sum()) for r in range(1, K + 2))]
 
 
+def _each(do: Callable[[dict], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: do() on one row at a time, so that a task unpacks one lot at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield do(batch.slice(i, 1).to_pylist()[0])
+                release()
+
+    return run
+
+
+def _bucket_of(do: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For applyInPandas: do() on a bucket, whose arrays are released before the next."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        out = do(g)
+        release()
+        return out
+
+    return run
+
+
 def _concat(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype)
 
@@ -177,12 +200,10 @@ def count_words(coded: DataFrame, buckets: int) -> DataFrame:
     """Answers to each lot (its words' totals, bucket by bucket) and each bucket's spectrum."""
     sent = pa.schema([("lot", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = Lot(row)
-                counts = np.bincount(x.tokens[x.token_train], minlength=len(x.words)).astype(np.uint32)
-                yield pa.RecordBatch.from_pylist([{"lot": x.name, "bucket": b, "keys": pack_sorted(x.words[at]), "counts": pack(counts[at])} for b, at in _by_bucket(_buckets(x.words, buckets))], sent)
+    def send(row: dict) -> pa.RecordBatch:
+        x = Lot(row)
+        counts = np.bincount(x.tokens[x.token_train], minlength=len(x.words)).astype(np.uint32)
+        return pa.RecordBatch.from_pylist([{"lot": x.name, "bucket": b, "keys": pack_sorted(x.words[at]), "counts": pack(counts[at])} for b, at in _by_bucket(_buckets(x.words, buckets))], sent)
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(k, np.uint64) for k in g["keys"]]
@@ -192,7 +213,7 @@ def count_words(coded: DataFrame, buckets: int) -> DataFrame:
         rows = [("answer", lot, b, pack(total[back[z - len(k) : z]]), None, None) for lot, b, k, z in zip(g["lot"], g["bucket"], keys, ends, strict=True)]
         return pd.DataFrame([*rows, ("spectrum", None, int(g["bucket"].iloc[0]), None, None, _spectrum(total))], columns=_ANSWER.names)
 
-    return materialize(coded.mapInArrow(send, "lot string, bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(add, ANSWERS), "word-counts")
+    return materialize(coded.mapInArrow(_each(send), "lot string, bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(_bucket_of(add), ANSWERS), "word-counts")
 
 
 def spectrum(answers: DataFrame) -> np.ndarray:
@@ -309,17 +330,15 @@ def count_ngrams(coded: DataFrame, model: Model, n: int, buckets: int, history_b
     shared = coded.sparkSession.sparkContext.broadcast(model)
     sent = pa.schema([("lot", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("hist", pa.binary()), ("counts", pa.binary()), ("below", pa.binary())])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = Lot(row)
-                g = Grams(x, n, _word_counts(x, shared.value, row), buckets)
-                counts = np.bincount(g.back[x.token_train], minlength=len(g.key)).astype(np.uint32)
-                below = _lower(x, shared.value, row, n - 1)[g.first]
-                # the lower order's mass matters for n-grams of training only; others just ask for their totals
-                yield pa.RecordBatch.from_pylist(
-                    [{"lot": x.name, "bucket": b, "hist": pack_sorted(g.of[at]), "keys": pack(g.key[at]), "counts": pack(counts[at]), "below": _values(below[at[counts[at] > 0]])} for b, at in _by_bucket(g.bucket)], sent
-                )
+    def send(row: dict) -> pa.RecordBatch:
+        x = Lot(row)
+        g = Grams(x, n, _word_counts(x, shared.value, row), buckets)
+        counts = np.bincount(g.back[x.token_train], minlength=len(g.key)).astype(np.uint32)
+        below = _lower(x, shared.value, row, n - 1)[g.first]
+        # the lower order's mass matters for n-grams of training only; others just ask for their totals
+        return pa.RecordBatch.from_pylist(
+            [{"lot": x.name, "bucket": b, "hist": pack_sorted(g.of[at]), "keys": pack(g.key[at]), "counts": pack(counts[at]), "below": _values(below[at[counts[at] > 0]])} for b, at in _by_bucket(g.bucket)], sent
+        )
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack(k, np.uint64) for k in g["keys"]]
@@ -341,8 +360,8 @@ def count_ngrams(coded: DataFrame, model: Model, n: int, buckets: int, history_b
             rows.append(("history", None, b, pack_sorted(hs[at]), b"".join(_framed(v) for v in (occurs[at], *per[:, at])) + _values(mass[at]), None))
         return pd.DataFrame([*rows, ("spectrum", None, int(g["bucket"].iloc[0]), None, None, _spectrum(total))], columns=_ANSWER.names)
 
-    asked = coded.mapInArrow(send, "lot string, bucket int, keys binary, hist binary, counts binary, below binary")
-    return materialize(asked.groupBy("bucket").applyInPandas(add, ANSWERS), f"{n}-gram-counts")
+    asked = coded.mapInArrow(_each(send), "lot string, bucket int, keys binary, hist binary, counts binary, below binary")
+    return materialize(asked.groupBy("bucket").applyInPandas(_bucket_of(add), ANSWERS), f"{n}-gram-counts")
 
 
 def _framed(a: np.ndarray) -> bytes:
@@ -363,12 +382,10 @@ def back_off(coded: DataFrame, counted: DataFrame, n: int, history_buckets: int,
     """Answers to each lot: its histories' totals and alphas. least: the unknown words' mass, which no history's words can have."""
     sent = pa.schema([("kind", pa.string()), ("lot", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = Lot(row)
-                hk = np.unique(x.history(n - 1))
-                yield pa.RecordBatch.from_pylist([{"kind": "ask", "lot": x.name, "bucket": b, "keys": pack_sorted(hk[at]), "extra": None} for b, at in _by_bucket(_buckets(hk, history_buckets))], sent)
+    def ask(row: dict) -> pa.RecordBatch:
+        x = Lot(row)
+        hk = np.unique(x.history(n - 1))
+        return pa.RecordBatch.from_pylist([{"kind": "ask", "lot": x.name, "bucket": b, "keys": pack_sorted(hk[at]), "extra": None} for b, at in _by_bucket(_buckets(hk, history_buckets))], sent)
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
         told, asked = g[g["kind"] == "history"], g[g["kind"] == "ask"]
@@ -391,9 +408,9 @@ def back_off(coded: DataFrame, counted: DataFrame, n: int, history_buckets: int,
             rows.append(("answer", lot, b, pack(c), pack(a), None))
         return pd.DataFrame(rows, columns=_ANSWER.names)
 
-    asks = coded.mapInArrow(ask, "kind string, lot string, bucket int, keys binary, extra binary")
+    asks = coded.mapInArrow(_each(ask), "kind string, lot string, bucket int, keys binary, extra binary")
     tells = counted.where("kind = 'history'").select("kind", "lot", "bucket", F.col("counts").alias("keys"), "extra")
-    return materialize(asks.unionByName(tells).groupBy("bucket").applyInPandas(answer, ANSWERS), f"{n}-gram-histories")
+    return materialize(asks.unionByName(tells).groupBy("bucket").applyInPandas(_bucket_of(answer), ANSWERS), f"{n}-gram-histories")
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -421,15 +438,13 @@ def score(docs: DataFrame, order: int = 2, text: str = "text", lot_tokens: int =
     shared = coded.sparkSession.sparkContext.broadcast(model)
     names = [f.split()[0] for f in SCORES.split(", ")]
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x, m = Lot(row), shared.value
-                add = lambda v, x=x: np.add.reduceat(v, x.starts)
-                c = _word_counts(x, m, row)[x.tokens]
-                base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-                p = np.log10(_lower(x, m, row, order))
-                cols = [pa.array(x.ids, pa.int64()), pa.array(~x.train), pa.array(x.sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(x.ids), total, np.int64)), pa.array(add(base)), pa.array(add(p))]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return _gather(coded, tables).mapInArrow(rate, SCORES)
+    def rate(row: dict) -> pa.RecordBatch:
+        x, m = Lot(row), shared.value
+        add = lambda v: np.add.reduceat(v, x.starts)
+        c = _word_counts(x, m, row)[x.tokens]
+        base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+        p = np.log10(_lower(x, m, row, order))
+        cols = [pa.array(x.ids, pa.int64()), pa.array(~x.train), pa.array(x.sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(x.ids), total, np.int64)), pa.array(add(base)), pa.array(add(p))]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    return _gather(coded, tables).mapInArrow(_each(rate), SCORES)
