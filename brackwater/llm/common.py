@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,16 @@ def release() -> None:
         trim(0)
 
 
+def trimmed(do: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: do(), then release() once its task has ended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from do(batches)
+        release()
+
+    return run
+
+
 def fold(doc_id: str | Column, n: int = 5) -> Column:
     """crc32 of doc_id as text, modulo n. A null doc_id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

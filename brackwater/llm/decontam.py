@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pack, unpack
+from .common import materialize, pack, trimmed, unpack
 
 WINDOW = 10
 GAP = 64  # places between two documents of a lot: more than a window may reach
@@ -70,7 +70,7 @@ def build_index(docs: DataFrame, text: str = "text", lot_words: int = LOT_WORDS)
             yield pa.RecordBatch.from_pylist([_lot(f"{part}-{k}", ids, held)], arrow)
 
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    return materialize(narrow.mapInArrow(build, INDEX), "index")
+    return materialize(narrow.mapInArrow(trimmed(build), INDEX), "index")
 
 
 class Queries:
@@ -195,7 +195,7 @@ def _search_lot(index: DataFrame, q: Queries, slop: int | None) -> DataFrame:
                     arrow,
                 )
 
-    return index.mapInArrow(find, MATCHES)
+    return index.mapInArrow(trimmed(find), MATCHES)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

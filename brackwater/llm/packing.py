@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked
+from .common import materialize, ranked, trimmed
 
 CAPACITY, END_TOKEN = 4096, 1
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
 
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    return narrow.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return narrow.mapInArrow(trimmed(cut), PIECES + ", ids binary" * with_ids)
 
 
 def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, trimmed
 from .features import NAMES, features
 
 MAX_TRAIN = 20_000
@@ -144,7 +144,7 @@ def text_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [lists], names=[*keep, "features"])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["features array<double>"])
-    return narrow.mapInArrow(compute, schema)
+    return narrow.mapInArrow(trimmed(compute), schema)
 
 
 def train(feats: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Gam:

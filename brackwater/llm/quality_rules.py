@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .features import DIGITS, UPPER, base_counts
 
 MIN_WORDS, MAX_REPEAT = 20, 30
@@ -66,7 +67,7 @@ def rule_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=[*keep, *names])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [_SCHEMA])
-    return narrow.mapInArrow(count, schema).withColumn(
+    return narrow.mapInArrow(trimmed(count), schema).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT)
     )
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 SEGMENTS, SEGMENT_BITS = 2, 32
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    return narrow.mapInArrow(compute, "doc_id bigint, fp bigint")
+    return narrow.mapInArrow(trimmed(compute), "doc_id bigint, fp bigint")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
