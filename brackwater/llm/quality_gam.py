@@ -150,7 +150,11 @@ def text_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
 def train(feats: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Gam:
     """feats: doc_id, features. Learns from rows whose fold isn't 0; at most max_train, by the hash of doc_id."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0)).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("y"))
-    rows = feats.join(known, F.col("doc_id") == F.col("__id")).select("__id", "features", "y").orderBy(F.xxhash64("__id"), "__id", "features").limit(max_train).collect()
+    labelled = feats.join(known, F.col("doc_id") == F.col("__id")).select("__id", "features", "y")
+    # an ordered limit takes max_train rows from every task: a bound on the hash leaves few more than that in all
+    share = (max_train + 8 * max_train**0.5) / max(1, labelled.count())
+    few = labelled.where(F.xxhash64("__id") <= int((share - 0.5) * 2**64)) if share < 1 else labelled
+    rows = few.orderBy(F.xxhash64("__id"), "__id", "features").limit(max_train).collect()
     x = np.array([r["features"] for r in rows], np.float64).reshape(-1, len(NAMES))
     return fit(x, np.array([r["y"] for r in rows], np.float64))
 
