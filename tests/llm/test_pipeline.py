@@ -63,3 +63,24 @@ def test_run_on_empty_tables(spark, tmp_path):
     for name, schema in {"documents": SCHEMA, "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def test_near_dedup_finds_similar_texts_beyond_three_bits(spark):
+    rows = [(i, prose(i, 150)) for i in range(100)]
+    for i in range(60):  # a changed word or two in the middle costs up to ten of 146 shingles
+        w = prose(i, 150).split()
+        for at in range(40, 40 + 50 * (1 + i % 2), 50):
+            w[at] = "changed"
+        rows.append((1000 + i, " ".join(w)))
+    w = prose(70, 150).split()
+    rows.append((2000, " ".join("changed" if k % 30 == 3 else x for k, x in enumerate(w))))
+    assert all(jaccard(rows[100 + i][1], rows[i][1]) >= 0.8 for i in range(60)) and jaccard(rows[-1][1], rows[70][1]) < 0.8
+    beyond = [i for i in range(60) if (brute_fingerprint(rows[100 + i][1]) ^ brute_fingerprint(rows[i][1])).bit_count() > 3]
+    assert beyond
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(100), 2000]
