@@ -84,3 +84,19 @@ def test_near_dedup_finds_similar_texts_beyond_three_bits(spark):
     assert beyond
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r["doc_id"] for r in got) == [*range(100), 2000]
+
+
+ODD = [(None, prose(1, 50)), (None, prose(2, 50)), (None, prose(2, 50)), (None, "in front " + BENCH[0][1]), (3, prose(3, 50)), (5, prose(3, 50)), (5, prose(4, 50)), (6, prose(5, 50)), (6, "x " + BENCH[0][1]), (7, prose(6, 50)), (7, prose(6, 50)), (8, None)]
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(ODD, "doc_id long, text string"), "").collect()
+    # the benchmark texts behind "in front" and "x" are near copies, and a row with an id goes before one without
+    want = {(None, prose(1, 50)), (None, prose(2, 50)), (3, prose(3, 50)), (5, prose(4, 50)), (6, prose(5, 50)), ODD[8], (7, prose(6, 50)), (8, None)}
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(want)
+
+
+def test_decontamination_judges_rows(spark, tmp_path):
+    spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(ODD, "doc_id long, text string"), str(tmp_path)).collect()
+    assert Counter(map(tuple, got)) == Counter(r for r in ODD if BENCH[0][1] not in (r[1] or ""))
