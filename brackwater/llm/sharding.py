@@ -16,19 +16,17 @@ from .common import ranked
 
 
 def shard_of(key: Column, weights: list[float]) -> Column:
-    """The shard that wins the key: the largest -weight / ln(u), u in (0, 1) from a hash of key and shard. Ties go to the lower shard.
+    """The shard that wins the key: the largest -weight / ln(u), u in (0, 1) from 53 bits of a hash of key and shard. Ties go to the lower shard.
 
-    With equal weights the order of the scores is the order of the hashes, and no logarithm is taken.
+    Of equal weights the order of the scores is the order of u, and no logarithm is taken. So a shard added with a weight of its own
+    changes how the winner is found, but not who wins among the shards that were there.
     """
     if not weights or any(not (w > 0 and math.isfinite(w)) for w in weights):
         raise ValueError("each shard needs a positive weight")
     text = F.coalesce(key.cast("string"), F.lit(""))
-    hashes = [F.xxhash64(text, F.lit(s)) for s in range(len(weights))]
-    if len(set(weights)) == 1:
-        scores = hashes
-    else:
-        u = [(F.shiftrightunsigned(h, 11) + F.lit(0.5)) / F.lit(float(1 << 53)) for h in hashes]
-        scores = [F.lit(-float(w)) / F.ln(x) for w, x in zip(weights, u, strict=True)]
+    scores = [F.shiftrightunsigned(F.xxhash64(text, F.lit(s)), 11) for s in range(len(weights))]
+    if len(set(weights)) > 1:
+        scores = [F.lit(-float(w)) / F.ln((n + F.lit(0.5)) / F.lit(float(1 << 53))) for w, n in zip(weights, scores, strict=True)]
     if len(scores) == 1:
         return F.lit(0)
     pairs = F.array(*(F.struct(x.alias("score"), F.lit(-s).alias("s")) for s, x in enumerate(scores)))

@@ -97,6 +97,20 @@ def test_chat_parts(spark):
         chat.format_conversations(spark.createDataFrame([(1, 0, "user", [("film", None, "x", 1)])], turns.schema), "parts").collect()
 
 
+@pytest.mark.parametrize("control", [chat.END, chat.TURN, "</s>", "<s>", "[INST]", "[/INST]", "\\|end|>", "<\\|end|>"])
+def test_control_strings_over_several_parts(spark, control):
+    cuts = [(control[:i], control[i:j], control[j:]) for i in range(len(control) + 1) for j in range(i, len(control) + 1)]
+    rows = [(k, i, "assistant", [("text", t, None, None) for t in cut] + [("image", None, "a", 1), ("text", cut[1], None, None)]) for k, cut in enumerate(cuts) for i in (0, 1)]
+    f = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS_TYPE}"), "parts")
+    back = chat.read_back(f).collect()
+    assert len(back) == len(cuts)
+    for r in back:
+        said = control + cuts[r["conv_id"]][1]
+        assert r["losses"] == [said] * 2 and [t["text"] for t in r["turns"]] == [said] * 2
+        own = r["formatted"].replace(chat.END, "").replace(chat.TURN, "").replace(chat.SAYS, "").replace("<|image|>", "")
+        assert control.startswith("\\") or control not in own
+
+
 # --- packing
 
 
@@ -281,6 +295,13 @@ def test_sharding(spark, docs, empty):
         sharding.shard_of(F.lit(1), [1.0, 0.0])
 
 
+def test_an_added_shard_of_another_weight_only_takes(spark):
+    keys = spark.range(20000).withColumnRenamed("id", "doc_id")
+    of = lambda weights: sharding.shard_of(F.col("doc_id"), weights)
+    moved = keys.select(of([1.0] * 24).alias("a"), of([1.0] * 24 + [2.0]).alias("b")).where("a <> b").groupBy("b").count().collect()
+    assert [r["b"] for r in moved] == [24] and abs(moved[0]["count"] - 20000 * 2 / 26) < 200
+
+
 def test_ranked_over_many_tasks(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") % 50).alias("k"))
     p = common.ranked(df, ["g"], ["k"], "r", 1000, 10).toPandas()
