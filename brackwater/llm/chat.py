@@ -3,7 +3,8 @@
 A turn's content is a list of typed parts. A visitor, one rule per kind, flattens them into the turn's body: text is
 escaped, an image, audio or document part becomes a placeholder, and its reference and the number of tokens that it
 expands to are recorded in order. Control strings inside texts are broken by a backslash, and so are backslashes, so
-that `read_back` restores every text from the formatted string alone.
+that `read_back` restores every text from the formatted string alone. Text parts that follow one another can't spell a control string together either:
+a backslash goes before a part that might go on with one.
 
 Turns go by (turn, role, text), nulls first, so ties and repeated rows have one order. Null roles and texts
 are empty, null part lists have no parts, unknown kinds of part are refused when formatting runs. Columns beyond those named are ignored; no
@@ -13,6 +14,8 @@ gathered in one row; Spark's 2 GB limit on a value is the limit of a conversatio
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +38,14 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(.)", "$1")
 
 
-def visit(part: Column) -> Column:
-    """One part's contribution to the body."""
-    out = F.when(part["kind"] == "text", escape(part["text"]))
+#: What may go on a control string that the text part before has begun. "<", "[" and backslashes can't, so a backslash before these is no other escape.
+_GOES_ON = f"^[{''.join(re.escape(x) for x in sorted(set(''.join(c[1:] for c in CONTROLS)) - set('<[')))}]"
+
+
+def visit(part: Column, before: Column) -> Column:
+    """One part's contribution to the body. before: the part that it follows, or null."""
+    joins = F.coalesce((before["kind"] == "text") & part["text"].rlike(_GOES_ON), F.lit(False))
+    out = F.when(part["kind"] == "text", F.concat(F.when(joins, "\\").otherwise(""), escape(part["text"])))
     for kind in PART_TOKENS:
         out = out.when(part["kind"] == kind, F.lit(f"<|{kind}|>"))
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown kind of part: "), F.coalesce(part["kind"], F.lit("null")))).cast("string"))
@@ -74,7 +82,7 @@ def format_conversations(turns: DataFrame, parts: str | None = None) -> DataFram
         "role",
         "tie",
         F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS)).alias("head"),
-        F.array_join(F.transform("content", visit), "").alias("body"),
+        F.array_join(F.transform("content", lambda p, i: visit(p, F.get("content", i - 1))), "").alias("body"),
         attachments_of(F.col("content")).alias("attachments"),
     )
     turn = F.struct("turn", "role", "tie", F.concat("head", "body", F.lit(END)).alias("piece"), F.length("head").alias("start"), F.length("body").alias("length"), "attachments")
