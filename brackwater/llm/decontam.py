@@ -3,12 +3,12 @@
 `build_index` stores, for lots of about a million training words, each word's positions: one row per lot, written to the shared
 folder, whatever benchmark may come. `search` takes windows of benchmark words. For each lot it orders a window's terms by the length of their
 position lists, starts from the rarest, shifts each list by its term's offset and intersects; what is left are the starts of exact phrases.
-With a slop it also reports windows whose terms all lie within window + slop words, in any order.
+With a slop, of any size, it also reports windows whose distinct terms all lie within window + slop words of one document, in any order.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z is lower-cased. A window is 10 consecutive words of an item; an item of fewer
 words, but not none, is one window. Null and empty texts have no words, and items without words have no windows. Null item_ids count as
 the empty string, repeated item_ids as one item. Repeated rows are each reported. Extra columns are not read. A benchmark is handled in
-lots of at most `lot_bytes` of text, one lot in memory at a time; several lots' matches meet per document.
+lots of about `lot_bytes` of text (windows take some 70 times that on the driver), one lot in memory at a time; several lots' matches meet per document.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from .common import materialize, pack, trimmed, unpack
 
 WINDOW = 10
-GAP = 64  # places between two documents of a lot: more than a window may reach
+SLOP = 5  # what the query allows
+GAP = 1  # a place between two documents of a lot, so that no phrase runs over; proximity looks at documents' ends
 LOT_WORDS = 1_000_000
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -126,30 +127,40 @@ def match_lot(row: dict, q: Queries, slop: int | None = None) -> tuple[np.ndarra
                 found_w.append(np.full(len(hits), w))
                 found_p.append(hits)
             if slop is not None:
-                near |= {(int(w), int(d)) for d in _near(places, ts, rarest, len(ts) + min(slop, GAP - WINDOW), starts)}
+                near |= {(int(w), int(d)) for d in _near(places, ts, rarest, len(ts) + slop, starts, starts + sizes)}
     cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64)
     return sizes, starts, cat(found_w), cat(found_p), near
 
 
-def _near(places: dict, ts: np.ndarray, rarest: np.ndarray, reach: int, starts: np.ndarray) -> np.ndarray:
-    """Documents in which some stretch of `reach` words holds all distinct terms: a stretch may begin at any place of any term."""
-    own = {int(ts[j]) for j in rarest}
-    anchors = places[int(ts[rarest[0]])]
-    first = np.unique(np.concatenate([p[_close(anchors, p, reach)] for p in (places[t] for t in own)]))
-    for t in own:  # each term has to have a place in [first, first + reach)
+def _near(places: dict, ts: np.ndarray, rarest: np.ndarray, reach: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Documents in which some stretch of `reach` words holds all distinct terms. The rarest term's places are thinned to those with every other term in reach and
+    in their document; a stretch that holds one of these begins at a place of some term."""
+    own = list(dict.fromkeys(int(ts[j]) for j in rarest))
+    anchors = places[own[0]]
+    doc = np.searchsorted(starts, anchors, "right") - 1
+    first, last = np.maximum(anchors - reach + 1, starts[doc]), np.minimum(anchors + reach, ends[doc])
+    for t in own[1:]:
+        ok = _any_in(places[t], first, last)
+        first, last, doc, anchors = first[ok], last[ok], doc[ok], anchors[ok]
+        if not len(first):
+            return doc
+    found = []
+    for t in own:
         p = places[t]
-        at = np.searchsorted(p, first)
-        ok = at < len(p)
-        ok[ok] = p[at[ok]] < first[ok] + reach
-        first = first[ok]
-    return np.unique(np.searchsorted(starts, first, "right") - 1)
+        lo, hi = np.searchsorted(p, first), np.searchsorted(p, anchors, "right")  # places at or before the anchor
+        n = hi - lo
+        at = p[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        of = np.repeat(doc, n)
+        for u in own:
+            ok = _any_in(places[u], at, np.minimum(at + reach, ends[of]))
+            at, of = at[ok], of[ok]
+        found.append(of)
+    return np.unique(np.concatenate(found))
 
 
-def _close(anchors: np.ndarray, p: np.ndarray, reach: int) -> np.ndarray:
-    at = np.searchsorted(anchors, p)
-    ok = at < len(anchors)
-    ok[ok] = anchors[at[ok]] < p[ok] + reach
-    return ok
+def _any_in(p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of the stretches [first, last) hold one of the places p."""
+    return np.searchsorted(p, first) < np.searchsorted(p, last)
 
 
 MATCHES = T.StructType([
@@ -214,7 +225,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([made.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
 
-def search(index: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, slop: int | None = None, lot_bytes: int = 32 << 20) -> DataFrame:
+def search(index: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, slop: int | None = None, lot_bytes: int = 4 << 20) -> DataFrame:
     """Per indexed document: n_words, n_hit (words inside exact matches), spans, item_ids, near_item_ids (empty without a slop)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -241,6 +252,8 @@ def digest(found: DataFrame) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_item_ids").cast("long").alias("n_near_items"),
+        F.sha2(F.array_join("near_item_ids", ",").cast("binary"), 256).alias("near_items_sha256"),
     )
 
 

@@ -23,7 +23,7 @@ def tokenizer_path() -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.digest(decontam.search(decontam.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark")))
+    return decontam.digest(decontam.search(decontam.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), slop=decontam.SLOP))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
