@@ -14,6 +14,7 @@ their own, in the order of their pieces' contents. No rows, no sequences. Extra
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -28,7 +29,13 @@ from .common import materialize, ranked, trimmed
 
 CAPACITY, END_TOKEN = 4096, 1
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_CACHED_WORDS = 150_000  # per generation: some 30 MB
+_CACHED_WORDS, _CACHED_BYTES = 150_000, 8 << 20  # per generation: some 30 MB
+#: What the short way below knows how to do; fixed values.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
 #: Stretches of these alone split by _SPLIT as the tokenizer splits them; others go through the whole tokenizer.
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]*")
 _SPLIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
@@ -42,12 +49,18 @@ def _byte_letters() -> list[str]:
     return [rest.get(c, chr(c)) for c in range(256)]
 
 
+def plain(token: dict) -> bool:
+    """Whether an added token is found as it stands in the text, and never over white space."""
+    return not (token["normalized"] or token["single_word"] or token["lstrip"] or token["rstrip"] or re.search(r"\s", token["content"]))
+
+
 class Encoder:
     """texts -> little-endian unsigned 32-bit ids as bytes.
 
-    The tokenizer lower-cases, drops white space and joins nothing across it, so a text's ids are those of its stretches between ASCII white space,
-    one after the other. A stretch of common letters, digits and signs is split here and only its words' merges are left to the
-    tokenizer's model, which takes a quarter of the time. Each stretch is encoded once for as long as it stays in one of two generations of a cache.
+    If the tokenizer's normalizer and splitter are those stated above, it lower-cases, drops white space and joins nothing across it, so a text's ids are those of
+    its stretches between ASCII white space, one after the other. A stretch of common letters, digits and signs is split here and only its words' merges are left to the
+    tokenizer's model, which takes a quarter of the time; one that holds a special token's string goes through the whole tokenizer. Each stretch is encoded
+    once for as long as it stays in one of two generations of a cache. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -55,15 +68,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        kind = json.loads(self.tokenizer.to_str())
+        added = kind["added_tokens"]
+        #: Whether texts may be cut at white space, and whether words may be split here.
+        self.known = kind["normalizer"] == _NORMALIZER and kind["pre_tokenizer"] == _PRE_TOKENIZER and not kind["post_processor"] and all(plain(t) for t in added)
+        self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in added) or b"(?!)")
         self.merges = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
     def stretch(self, b: bytes) -> bytes:
         w = b.decode()
-        if not _PLAIN.fullmatch(w):
+        if not _PLAIN.fullmatch(w) or self.special.search(b):
             return np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         parts = _SPLIT.findall(w.lower())
         if not w.isascii():
@@ -71,12 +89,16 @@ class Encoder:
         return b"".join([t.id.to_bytes(4, "little") for p in parts for t in self.merges(p)])
 
     def __call__(self, text: bytes) -> bytes:
+        if not self.known:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         words = text.split()
         new = self.new
         for w in set(words).difference(new):
             new[w] = self.old.get(w) or self.stretch(w)
+            self.held += len(w) + len(new[w])
         out = b"".join([new[w] for w in words])
-        if len(new) > _CACHED_WORDS:
+        if len(new) > _CACHED_WORDS or self.held > _CACHED_BYTES:
+            self.held = 0
             self.old, self.new = new, {}
         return out
 

@@ -61,6 +61,23 @@ def test_proximity(spark):
     assert near == {1: ["9"], 2: [], 3: ["9"], 4: []}
 
 
+def brute_near(words, window, reach):
+    return any(set(window) <= set(words[i : i + reach]) for i in range(len(words)))
+
+
+@pytest.mark.parametrize(("window", "slop"), [(3, 0), (3, 2), (5, 3), (20, 0), (20, 7), (4, 90)])
+def test_proximity_against_brute_force(spark, window, slop):
+    r = np.random.default_rng(window + slop)
+    texts = [" ".join(r.choice(list("abcdefghijkl"), r.integers(0, 40), p=[0.3, 0.2, 0.1, *[0.4 / 9] * 9])) for _ in range(60)]
+    items = [" ".join(r.choice(list("abcdefghijkl"), n)) for n in (2, 3, 4, 6, 25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)], "item_id string, text string")
+    got = {x["doc_id"]: x["near_item_ids"] for x in decontam.search(decontam.build_index(docs, lot_words=300), bench, window=window, slop=slop).collect()}
+    for i, t in enumerate(texts):
+        want = [f"i{k}" for k, q in enumerate(items) for w in [q.split()] if any(brute_near(t.split(), w[j : j + window], min(window, len(w)) + slop) for j in range(max(1, len(w) - window + 1)))]
+        assert got[i] == sorted(set(want))
+
+
 def test_empty_index(spark, empty):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert decontam.search(decontam.build_index(empty), bench).count() == 0
@@ -118,7 +135,6 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     got = packing.pack_documents(docs, tokenizer_path(), with_ids=True).toPandas()
     want = Counter()
     for i, t in TEXTS:
@@ -137,12 +153,25 @@ def test_encoder_agrees_with_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     e = packing.encoder(tokenizer_path())
-    for s in ["İstanbul it's 'RE foo bar\x1cz ½ ² ﬁ é 日本 <|endoftext|> Σας ΣΑΣ 12a3", "ÀÖ×÷ß Ÿ naïve, (x) é  a b", "a" * 3000]:
+    assert e.known
+    for s in ["a <|endoftext|> b", "x<|startoftext|>y Z<|ENDOFTEXT|> <|endoftext|><|endoftext|>", "<|endoftext", "é<|endoftext|>é", "İstanbul it's 'RE foo bar\x1cz ½ ² ﬁ é 日本 <|endoftext|> Σας ΣΑΣ 12a3", "ÀÖ×÷ß Ÿ naïve, (x) é  a b", "a" * 3000]:
         assert np.frombuffer(e(s.encode()), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
 
 
+def test_unknown_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    kind = json.loads(Tokenizer.from_file(tokenizer_path()).to_str())
+    kind["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": "x"}, {"type": "Lowercase"}]}
+    (tmp_path / "t.json").write_text(json.dumps(kind))
+    e, t = packing.encoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not e.known
+    assert np.frombuffer(e(b"joined  by a letter"), "<u4").tolist() == t.encode("joined  by a letter", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_sweep_places_all_and_is_tight(seed):
     r = np.random.default_rng(seed)

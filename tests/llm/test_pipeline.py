@@ -45,7 +45,6 @@ def test_run(spark, tmp_path):
     want = expected(rows, labels)
     assert 200 < len(want) < 400
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     pieces = Counter()
     for i, t in want:
         ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
