@@ -87,6 +87,22 @@ def fold(doc_id: str | Column, n: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
+def smallest_hashes(ids: DataFrame, n: int) -> DataFrame:
+    """The n rows of ids (__id, each once) whose ids have the smallest hashes.
+
+    An ordered limit alone would take n rows from every task: a bound on the hash before it leaves few more than n in all.
+    """
+    share = (n + 8 * n**0.5) / max(1, ids.count())
+    few = ids.where(F.xxhash64("__id") <= int((share - 0.5) * 2**64)) if share < 1 else ids
+    return few.orderBy(F.xxhash64("__id"), "__id").limit(n)
+
+
+def carried(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """df with columns named by place, so that no name clashes with those that an operator adds; the new names; and what brings the old ones back."""
+    new = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), new, lambda out: out.select(*(F.col(n).alias(c) for c, n in new.items()))
+
+
 def pack(values: np.ndarray) -> bytes:
     """Integers as zstd over byte planes, which are mostly zero for small numbers."""
     a = np.ascontiguousarray(values)

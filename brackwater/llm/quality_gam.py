@@ -6,7 +6,7 @@ pairs whose coarse two-way tables explain most of what is left get trees of one
 the logistic of a sum of table entries, found by vectorised bin lookups.
 
 Features come from the text alone; labels, lang, source and doc_id are no inputs. The model is fitted on at
-most `max_train` labelled rows (those with the smallest hashes of doc_id), a documented bound; every row is scored. Null texts are
+most `max_train` labelled documents (those with the smallest hashes of doc_id), a documented bound; every row is scored. Null texts are
 empty; without labels of both classes every score is the share of good labels, or 0.5 where there are none.
 Repeated rows score alike; of a label's repeats the best counts; extra columns are not read.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, trimmed
+from .common import fold, smallest_hashes, trimmed
 from .features import NAMES, features
 
 MAX_TRAIN = 20_000
@@ -147,14 +147,14 @@ def text_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     return narrow.mapInArrow(trimmed(compute), schema)
 
 
-def train(feats: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Gam:
-    """feats: doc_id, features. Learns from rows whose fold isn't 0; at most max_train, by the hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, text: str = "text") -> Gam:
+    """Learns from labelled rows whose fold isn't 0. Ids pick the sample, at most max_train of them by their hash; features are then computed of the chosen few."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0)).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("y"))
-    labelled = feats.join(known, F.col("doc_id") == F.col("__id")).select("__id", "features", "y")
-    # an ordered limit takes max_train rows from every task: a bound on the hash leaves few more than that in all
-    share = (max_train + 8 * max_train**0.5) / max(1, labelled.count())
-    few = labelled.where(F.xxhash64("__id") <= int((share - 0.5) * 2**64)) if share < 1 else labelled
-    rows = few.orderBy(F.xxhash64("__id"), "__id", "features").limit(max_train).collect()
+    pick = smallest_hashes(known, max_train)
+    chosen = docs.select("doc_id", text).join(F.broadcast(pick), F.col("doc_id") == F.col("__id"))  # max_train ids: a proven bound
+    # of an id's repeats one counts, so that rows are as few as ids
+    rows = text_features(chosen, ["__id", "y"], text).groupBy("__id").agg(F.max("y").alias("y"), F.min("features").alias("features")).collect()
+    rows.sort(key=lambda r: r["__id"])
     x = np.array([r["features"] for r in rows], np.float64).reshape(-1, len(NAMES))
     return fit(x, np.array([r["y"] for r in rows], np.float64))
 

@@ -46,9 +46,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats = materialize(quality_gam.text_features(_table(spark, sf_dir, "documents"), ["doc_id"]), "features")
-    model = quality_gam.train(feats, _table(spark, sf_dir, "labels"))
-    return quality_gam.scored(feats, model).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= quality_gam.THRESHOLD).cast("int").alias("predicted"))
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_gam.train(docs, _table(spark, sf_dir, "labels"))
+    return quality_gam.scored(quality_gam.text_features(docs, ["doc_id"]), model).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= quality_gam.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed
+from .common import discard, materialize, trimmed
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 SEGMENTS, SEGMENT_BITS = 2, 32
@@ -204,7 +204,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         met = large.join(low, F.col("u") == F.col("x"))
         small = met.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "edges")
+        before, edges = edges, materialize(small, "edges")
+        discard(before)
         now = mark(edges)
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -4,17 +4,44 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pytest
 from conftest_llm import BENCH, corpus, prose
-from test_operators import brute_components, brute_fingerprint, brute_rules, hits
+from pyspark.sql import functions as F
+from test_operators import brute_fingerprint, brute_rules, hits
 
 import corpus_pipeline
-from brackwater.llm import quality_gam
+from brackwater.llm import quality_gam, shingles
 from brackwater.llm.features import features
 from brackwater.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def shingle_set(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def one_of_each(rows):
+    """All pairs at 0.8 or more, their components, and of each the row with the smallest doc_id; all doc_ids given."""
+    rows = sorted(set(rows))
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [r for i, r in enumerate(rows) if find(i) == i]
+
+
 def expected(rows, labels):
     """(doc_id, text) of the documents that stages 1 to 4 keep; the classifier is fitted anew, on the same labels, in the order of doc_ids."""
     left = [(i, t or "") for i, t, *_ in rows]
@@ -23,8 +50,7 @@ def expected(rows, labels):
     learn = [(features(t.encode()), known[i]) for i, t in left if i in known and zlib.crc32(str(i).encode()) % 5]
     model = quality_gam.fit(np.array([x for x, _ in learn]), np.array([y for _, y in learn], float))
     left = [(i, t) for i, t in left if model.score(np.array([features(t.encode())]))[0] >= 0.3]
-    parts = brute_components([(i, brute_fingerprint(t)) for i, t in left])
-    left = list({i: (i, t) for (i, t), c in zip(left, parts, strict=True) if i == c}.values())
+    left = one_of_each(left)
     return [(i, t) for i, t in left if not hits(t, BENCH)[1]]
 
 
@@ -65,7 +91,7 @@ def test_run_on_empty_tables(spark, tmp_path):
 
 
 def jaccard(a, b):
-    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b)))
+    x, y = shingle_set(a), shingle_set(b)
     return len(x & y) / len(x | y)
 
 
@@ -99,3 +125,52 @@ def test_decontamination_judges_rows(spark, tmp_path):
     spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(ODD, "doc_id long, text string"), str(tmp_path)).collect()
     assert Counter(map(tuple, got)) == Counter(r for r in ODD if BENCH[0][1] not in (r[1] or ""))
+
+
+@pytest.mark.parametrize("block", [64, 3])
+def test_crowded_keys_are_compared_whole(spark, monkeypatch, block):
+    """Families of texts around 0.8: many share keys, few are linked, and chains along the hashes' order alone would miss links."""
+    monkeypatch.setattr(shingles, "BLOCK_TEXTS", block)
+    rows, r = [], np.random.default_rng(4)
+    for f in range(3):
+        base = prose(100 + f, 80).split()
+        for _ in range(60):
+            w = list(base)
+            for at in r.choice(80, r.integers(1, 4), replace=False):
+                w[at] = f"w{r.integers(0, 3)}"
+            rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    sketched = [shingles.band_keys(shingles.shingles(t.encode())) for _, t in rows]
+    shared = {i: {j for j in range(len(rows)) if (sketched[i] == sketched[j]).any()} for i in range(len(rows))}
+    assert max(map(len, shared.values())) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = shingles.sketches(docs).groupBy("node").agg(F.first("keys").alias("keys"))
+    meetings = shingles.met(nodes)
+    assert meetings.agg(F.max("n")).first()[0] > shingles.NEXT + 1
+    got = sorted(x["doc_id"] for x in shingles.one_of_each(docs).collect())
+    assert got == [i for i, _ in one_of_each(rows)] and 3 < len(got) < 150
+
+
+def test_crowded_key_of_two_groups_and_strangers(spark):
+    """A key's largest component, a second one, and texts like neither; links across the order of hashes only."""
+    r = np.random.default_rng(9)
+    sets = {n: np.unique(r.integers(0, 40, 30).astype(np.uint64)) for n in range(40)}
+    frame = pd.DataFrame({"key": 1, "node": list(sets), "root": [n if n % 3 else 0 for n in sets], "minor": [bool(n % 3) for n in sets]})
+    left = spark.createDataFrame(frame)
+    table = spark.createDataFrame([(n, s.tobytes()) for n, s in sets.items()], "node long, shingles binary")
+    like = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.5
+    root = dict(zip(frame["node"], frame["root"], strict=True))
+    want = {(a, b) for a in sets for b in sets if b < a and root[a] != root[b] and like(a, b)}
+    assert want and {tuple(x) for x in shingles.crowded_links(left, table, 0.5).collect()} == want
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    names = ["n_words", "score", "features", "__hit", "__text", "kept", "base_failed", "node", "__id", "low", "key", "sequence_id", "length"]
+    rows = [(i, prose(i, 60), *(f"{n}{i}" for n in names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([(i, 1, 0) for i in range(9)] + [(99, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema == docs.schema and sorted(map(tuple, out.collect())) == rows
+    assert {r["doc_id"] for r in corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()} == set(range(12))
