@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, smallest_hashes
 
 MAX_TRAIN = 3_000
 THRESHOLD = 0.5
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
-PAD = 2  # empty places after each text, so that no filter sees two texts at once
+PAD = 2  # empty places after each text; filters that begin there answer 0, so none sees two texts at once
 
 #: Frequent function words; the language with most of them in a text is its guess.
 FUNCTION_WORDS = {
@@ -92,6 +92,15 @@ def _embed(table: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return table[flat[:, 0]] + table[flat[:, 1]] + table[flat[:, 2]]
 
 
+def _answers(w: np.ndarray, e: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """A width's filters at each place. What begins in the pad is 0, as if nothing came after."""
+    act = e @ w[0]
+    for k in range(1, len(w)):
+        act[:-k] += e[k:] @ w[k]
+    act[flat[:, 0] == BUCKETS] = 0
+    return act
+
+
 @dataclass
 class Cnn:
     emb: np.ndarray  # (BUCKETS + 1, DIM); the last row stays zero
@@ -105,9 +114,7 @@ class Cnn:
         e = _embed(self.emb, flat)
         parts = []
         for w, b in zip(self.filt, self.bias, strict=True):
-            act = e @ w[0]
-            for k in range(1, len(w)):
-                act[:-k] += e[k:] @ w[k]
+            act = _answers(w, e, flat)
             parts.append(np.maximum(np.maximum.reduceat(act, starts) + b, 0))
         return np.concatenate(parts, 1)
 
@@ -167,9 +174,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 64
             pools, where = [], []
             ends = np.append(starts[1:], len(flat))
             for w, b in zip(m.filt, m.bias, strict=True):
-                act = e @ w[0]
-                for k in range(1, len(w)):
-                    act[:-k] += e[k:] @ w[k]
+                act = _answers(w, e, flat)
                 top = np.stack([s + np.argmax(act[s:t], 0) for s, t in zip(starts, ends, strict=True)])
                 where.append(top)
                 pools.append(np.take_along_axis(act, top, 0) + b)
@@ -184,7 +189,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 64
                 gw = np.zeros_like(w)
                 for j in range(len(w)):
                     place = np.minimum(at + j, len(flat) - 1)
-                    inside = (at + j < len(flat))[..., None]
+                    inside = ((at + j < len(flat)) & (flat[at, 0] != BUCKETS))[..., None]
                     gw[j] = np.einsum("df,dfe->ef", g, e[place] * inside)
                     for c in range(3):
                         emb_at.append(flat[place, c].ravel())
@@ -229,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, text:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0)).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("y"))
     pick = None
     for y, n in ((1, max_train), (0, 2 * max_train)):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n)
+        part = smallest_hashes(known.where(F.col("y") == y), n)
         pick = part if pick is None else pick.unionByName(part)
     # at most 3 * max_train ids: a proven bound
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text")).join(F.broadcast(pick), F.col("doc_id") == F.col("__id")).select("__id", "__text", "y")
@@ -239,7 +244,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, text:
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array([word_codes(t.as_py()).tobytes() for t in b.column("__text")], pa.binary()), b.column("y")], names=["id", "h", "y"])
 
     schema = f"id {labels.schema['doc_id'].dataType.simpleString()}, h binary, y {labels.schema['toxic'].dataType.simpleString()}"
-    got = sorted(rows.mapInArrow(hashed, schema).collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], bytes(r["h"])))
+    few = rows.mapInArrow(hashed, schema).groupBy("id").agg(F.max("y").alias("y"), F.min("h").alias("h"))  # of an id's repeats one counts
+    got = sorted(few.collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], bytes(r["h"])))
     return fit([np.frombuffer(r["h"], np.uint64) for r in got], np.array([r["y"] for r in got], np.float32))
 
 

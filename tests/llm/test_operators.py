@@ -281,11 +281,11 @@ def judged(spark):
 def test_quality_gam(judged):
     docs, labels = judged
     feats = quality_gam.text_features(docs, ["doc_id"])
-    got = quality_gam.scored(feats, quality_gam.train(feats, labels)).toPandas()
+    got = quality_gam.scored(feats, quality_gam.train(docs, labels)).toPandas()
     assert len(got) == 903 and got["score"].between(0, 1).all()
     held = got[got["doc_id"].map(lambda d: d == d and d < 900 and zlib.crc32(str(int(d)).encode()) % 5 == 0)]
     assert ((held["score"] >= 0.3) == (held["doc_id"] % 3 > 0)).mean() > 0.98
-    none = quality_gam.scored(feats, quality_gam.train(feats, labels.limit(0))).toPandas()
+    none = quality_gam.scored(feats, quality_gam.train(docs, labels.limit(0))).toPandas()
     assert (none["score"] == 0.5).all()
 
 
@@ -306,6 +306,28 @@ def test_toxicity(judged):
     assert set(toxicity.score_texts(docs, toxicity.train(docs, labels.limit(0)), ["doc_id"]).toPandas()["score"]) == {0.0}
 
 
+def test_toxicity_scores_each_text_by_itself(judged):
+    """Scores and activations don't depend on the text that comes after, be it as toxic as can be."""
+    r = np.random.default_rng(0)
+    texts = [toxicity.word_codes(prose(i, 30).encode() + (b" vile" if i % 2 else b"")) for i in range(60)]
+    m = toxicity.fit(texts, np.array([i % 2 for i in range(60)], np.float32), epochs=2)
+    some = [toxicity.word_codes(prose(i, n).encode()) for i, n in enumerate((0, 1, 2, 3, 9))]
+    alone = [m.score([t])[0] for t in some]
+    loud = toxicity.word_codes(b"vile " * 3)
+    assert m.score([x for t in some for x in (t, loud)])[::2] == pytest.approx(alone, abs=1e-6)
+    assert m.score([some[i] for i in r.permutation(5)]) == pytest.approx([alone[i] for i in np.random.default_rng(0).permutation(5)], abs=1e-6)
+
+
+def test_classifiers_on_empty_tables_and_repeated_ids(judged, spark):
+    docs, labels = judged
+    none = docs.limit(0)
+    assert quality_gam.scored(quality_gam.text_features(none, ["doc_id"]), quality_gam.train(none, labels)).count() == 0
+    assert toxicity.score_texts(none, toxicity.train(none, labels), ["doc_id"]).count() == 0
+    hot = docs.unionByName(spark.createDataFrame([(7, prose(7, 50), "en")] * 300, docs.schema))
+    assert quality_gam.scored(quality_gam.text_features(hot, ["doc_id"]), quality_gam.train(hot, labels)).count() == 1203
+    assert toxicity.score_texts(hot, toxicity.train(hot, labels), ["doc_id"]).count() == 1203
+
+
 # --- sharding
 
 
@@ -375,18 +397,50 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.judge(empty, labels, ["doc_id"]).count() == 0
 
 
-def test_cutoffs_keep_their_promise():
-    r = np.random.default_rng(1)
-    grid = quality_rules.RULES["upper_share"]
-    x = np.concatenate([r.beta(1, 30, 20000), r.beta(8, 2, 3000)])
-    y = np.repeat([1, 0], [20000, 3000])
-    step = np.searchsorted(grid, x)
-    c = pd.DataFrame({"stratum": 0, "rule": "upper_share", "step": step, "good": y, "bad": 1 - y}).groupby(["stratum", "rule", "step"], as_index=False).sum()
-    got = quality_rules.choose_cutoffs(c, 0.01, 0.05)
-    cut = got["cutoff"][0]
-    assert (x[y == 1] > cut).mean() < 0.01 and (x[y == 0] > cut).mean() > 0.9
-    assert quality_rules.choose_cutoffs(c.assign(good=c["good"] // 400), 0.01, 0.05).empty
-    assert quality_rules.binomial_tail(2, 10, 0.3) == pytest.approx(sum(math.comb(10, k) * 0.3**k * 0.7 ** (10 - k) for k in range(3)))
+def test_binomial_tail():
+    for k, n, p in ((2, 10, 0.3), (0, 5, 0.5), (7, 10, 0.3), (3, 400, 0.01), (9, 9, 0.2)):
+        assert quality_rules.binomial_tail(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-12)
+    assert quality_rules.binomial_tail(9_000, 1_000_000, 0.01) < 1e-20
+
+
+def test_policies_as_a_whole_keep_their_promise():
+    """Good documents for which each of two rules is harmless, but not both: the holdout stops the path after the first."""
+    counts = pd.DataFrame({"stratum": 0, "at": [0, 1, 2], "good": [5, 9, 1986]})
+    path = [("upper_share", 0.5), ("digit_share", 0.5)]
+    assert quality_rules.certify(counts, {0: path}, 0.01, 0.05) == {0: path[:1]}
+    assert quality_rules.certify(counts, {0: path[::-1]}, 0.01, 0.05) == {0: path[:0:-1]}
+    assert quality_rules.certify(counts.assign(good=[0, 0, 400]), {0: path}, 0.01, 0.05) == {}  # too few to prove anything
+    assert quality_rules.certify(counts.assign(good=[0, 0, 440]), {0: path}, 0.01, 0.05) == {0: path}
+
+
+def test_learned_cutoffs_against_brute_force(spark):
+    """4,000 labelled documents, enough for cutoffs to be proven in one stratum and in no other; verdicts recomputed from the texts."""
+    rows, labels = [], []
+    r = np.random.default_rng(2)
+    for i in range(4000):
+        good = i % 4 > 0
+        t = prose(i, 30 + i % 40) if i % 50 else prose(i, 150)
+        if not good:
+            t = t.upper() if i % 8 else t.replace(" ", "$ ")
+        elif r.random() < 0.001:
+            t = t.upper()
+        rows.append((i, t))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    stats = quality_rules.rule_stats(docs, ["doc_id"])
+    cutoffs = quality_rules.learn_cutoffs(stats, known)
+    assert {s for s, _, _ in cutoffs} == {0} and {rule for _, rule, _ in cutoffs} >= {"upper_share"}
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *quality_rules.RULES]
+    want = {}
+    for i, t in rows:
+        x = dict(zip(names, quality_rules._stats(t.encode()), strict=True))
+        want[i] = not brute_rules(t)[-1] and not any(x[rule] > c for s, rule, c in cutoffs if (x["n_words"] >= 100) == (s > 0))
+    got = {x["doc_id"]: x["kept"] for x in quality_rules.judge(docs, known, ["doc_id"]).collect()}
+    assert got == want
+    short = [i for i, t in rows if i % 50]
+    assert sum(not got[i] for i in short if i % 4) < 0.01 * 2940 and sum(not got[i] for i in short if not i % 4) > 900
+    assert quality_rules.learn_cutoffs(quality_rules.rule_stats(quality_rules.labelled(docs.unionByName(spark.createDataFrame([(9999, "x y")], docs.schema)), known), ["doc_id"]), known) == cutoffs
 
 
 # --- language model
