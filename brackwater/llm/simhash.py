@@ -215,17 +215,27 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+SHARE = 2_000  # a fingerprint of this part of all rows, or more, is heavy; there are no more of them than this
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fp, component_id per row."""
     fps = materialize(fingerprints(docs, text), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
     stars = components(link_forest(distinct.select("fp")))
     member = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     linked = distinct.join(member, F.col("fp") == F.col("node")).select("node", "root", "low")
     ids = linked.groupBy(F.col("root").alias("__r")).agg(F.min("low").alias("id"))
     named = linked.join(ids, F.col("root") == F.col("__r")).select("node", "id")
-    every = distinct.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.coalesce("id", "low").alias("component_id"))
-    return fps.join(every, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    every = distinct.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.coalesce("id", "low").alias("component_id"), "n")
+    every = materialize(every, "components")
+    discard(distinct)
+    # copies of one text are one key: heavy ones, SHARE at most, go to the rows instead of the rows to them
+    heavy = F.broadcast(every.where(F.col("n") * SHARE >= total).drop("n"))
+    hot = fps.join(heavy, F.col("fp") == F.col("__fp"))
+    rest = fps.join(heavy, F.col("fp") == F.col("__fp"), "left_anti").join(every.where(F.col("n") * SHARE < total), F.col("fp") == F.col("__fp"))
+    return hot.select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
 
 
 def digest(found: DataFrame) -> DataFrame:
