@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -128,24 +129,23 @@ def unpack_sorted(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpack(data, dtype), dtype=dtype)
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str, rows: int, per_task: int = 100_000) -> DataFrame:
-    """Add a rank, gapless from 0 within each group, without bringing a whole group into one task.
+def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str, per_task: int = 100_000) -> DataFrame:
+    """Add a rank, gapless from 0 within each group, without bringing a whole group into one task. df: a written table, as it is read three times; its groups are few.
 
-    Rows of a group are dealt to `rows / per_task` buckets by a hash of the order columns. The buckets' sizes,
+    Rows of a group are dealt by a hash of the order columns to as many buckets as the group's size asks for. The buckets' sizes,
     summed on the map side, give each bucket's first rank; within a bucket row_number counts on. Rows that
-    agree in all order columns get distinct ranks.
+    agree in all order columns get distinct ranks, in a bucket of theirs, whose sort may spill.
     """
-    n = max(1, -(-rows // per_task))
     b, base = "__bucket", "__base"
-    dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    per = df.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / per_task).alias("__n")).select(*(F.col(c).alias(f"__f{c}") for c in groups), "__n")
+
+    def same(columns: list[str]) -> Column:
+        return reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__f{c}")) for c in columns))
+
+    dealt = df.join(F.broadcast(per), same(groups)).withColumn(b, F.pmod(F.xxhash64(*order), F.col("__n"))).drop("__n", *(f"__f{c}" for c in groups))
     sizes = dealt.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select(*groups, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(base))
-    firsts = firsts.select(*(F.col(c).alias(f"__f{c}") for c in (*groups, b)), base)
-    same = [F.col(c).eqNullSafe(F.col(f"__f{c}")) for c in (*groups, b)]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
+    firsts = sizes.select(*(F.col(c).alias(f"__f{c}") for c in (*groups, b)), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(base))
     within = Window.partitionBy(*groups, b).orderBy(*order)
     counted = dealt.withColumn("__row", F.row_number().over(within) - 1)
-    return counted.join(firsts, on, "left").withColumn(rank, (F.col("__row") + F.col(base)).cast("long")).drop(b, "__row", base, *(f"__f{c}" for c in (*groups, b)))
+    return counted.join(firsts, same([*groups, b]), "left").withColumn(rank, (F.col("__row") + F.col(base)).cast("long")).drop(b, "__row", base, *(f"__f{c}" for c in (*groups, b)))

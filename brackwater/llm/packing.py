@@ -191,9 +191,8 @@ def place(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     steps = np.array(sorted(sweep(counts, capacity)), np.int64).reshape(-1, 6)
     # A run is split once for each length that comes after it at most, so the steps are bounded by capacity squared, not by the corpus; about 1 MB in use.
     shared = spark.sparkContext.broadcast(steps)
-    rows = sum(counts.values())
     order = [c for c in ("doc_id", "piece", "ids_crc32") if c in table.columns]
-    with_rank = ranked(table, ["length"], order, "__rank", rows, 20_000)
+    with_rank = ranked(table, ["length"], order, "__rank")
     own = list(table.columns)
     names = [*own, "sequence_id", "offset"]
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import materialize, ranked
 
 
 def shard_of(key: Column, weights: list[float]) -> Column:
@@ -38,10 +38,9 @@ def shard(docs: DataFrame, key: str = "doc_id", weights: list[float] | None = No
     return docs.withColumn(out, shard_of(F.col(key), weights or [1.0] * n_shards))
 
 
-def with_slots(sharded: DataFrame, key: str = "doc_id", shard_col: str = "shard", slot: str = "slot", per_task: int = 100_000) -> DataFrame:
-    """Gapless places within each shard; a shard's rows are dealt to as many tasks as they need."""
-    rows = sharded.count()
-    return ranked(sharded, [shard_col], [key], slot, rows, per_task * 24)
+def with_slots(sharded: DataFrame, order: list[str], shard_col: str = "shard", slot: str = "slot") -> DataFrame:
+    """Gapless places within each shard; a shard's rows are dealt to as many tasks as they need. sharded: a written table."""
+    return ranked(sharded, [shard_col], order, slot)
 
 
 def shard_digest(docs: DataFrame, n_shards: int = 24) -> DataFrame:
@@ -55,5 +54,5 @@ def shard_digest(docs: DataFrame, n_shards: int = 24) -> DataFrame:
         shard_of(F.col("doc_id"), [1.0] * n_shards).alias("shard"),
         shard_of(F.col("doc_id"), [1.0] * (n_shards + 1)).alias("grown_shard"),
     )
-    n = docs.count()
-    return ranked(rows, ["shard"], ["doc_id", "text_crc32"], "slot", n, 2_400_000).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    # without the texts, which are read once
+    return with_slots(materialize(rows, "sharded"), ["doc_id", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

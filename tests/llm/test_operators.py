@@ -233,7 +233,9 @@ def brute_components(pairs):
     return [low.get(root(i)) for i in range(len(pairs))]
 
 
-def test_simhash(spark, docs):
+@pytest.mark.parametrize("share", [simhash.SHARE, 3])
+def test_simhash(spark, docs, share, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARE", share)
     got = simhash.digest(simhash.near_duplicates(docs)).collect()
     pairs = [(i, brute_fingerprint(t)) for i, t in TEXTS]
     want = Counter((i, f"{f:016x}", c) for (i, f), c in zip(pairs, brute_components(pairs), strict=True))
@@ -355,7 +357,7 @@ def test_an_added_shard_of_another_weight_only_takes(spark):
 
 def test_ranked_over_many_tasks(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") % 50).alias("k"))
-    p = common.ranked(df, ["g"], ["k"], "r", 1000, 10).toPandas()
+    p = common.ranked(df, ["g"], ["k"], "r", 10).toPandas()
     assert all(sorted(x["r"]) == list(range(len(x))) for _, x in p.groupby("g"))
 
 
