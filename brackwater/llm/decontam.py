@@ -1,6 +1,6 @@
 """Benchmark decontamination through a distributed positional inverted index.
 
-`build_index` stores, for lots of about a million training words, each word's positions: one row per lot, written to the shared
+`build_index` stores, for lots of about half a million training words, each word's positions: one row per lot, written to the shared
 folder, whatever benchmark may come. `search` takes windows of benchmark words. For each lot it orders a window's terms by the length of their
 position lists, starts from the rarest, shifts each list by its term's offset and intersects; what is left are the starts of exact phrases.
 With a slop, of any size, it also reports windows whose distinct terms all lie within window + slop words of one document, in any order.
@@ -27,7 +27,7 @@ from .common import materialize, pack, trimmed, unpack
 WINDOW = 10
 SLOP = 5  # what the query allows
 GAP = 1  # a place between two documents of a lot, so that no phrase runs over; proximity looks at documents' ends
-LOT_WORDS = 1_000_000
+LOT_WORDS = 500_000
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 INDEX = "lot string, doc_ids array<bigint>, n_words binary, terms binary, counts binary, positions binary"

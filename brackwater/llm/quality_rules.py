@@ -140,12 +140,6 @@ def certify(counts: pd.DataFrame, paths: dict[int, Path], alpha: float, delta: f
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that have a quality label, so that statistics to learn from are computed of these alone."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(known, F.col("doc_id") == F.col("__id"), "left_semi")
-
-
 def learn_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[tuple[int, str, float]]:
     """(stratum, rule, cutoff), from all labelled documents that pass the base rules. Of each label's repeats, the best counts."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__q"))

@@ -361,6 +361,19 @@ def test_ranked_over_many_tasks(spark):
     assert all(sorted(x["r"]) == list(range(len(x))) for _, x in p.groupby("g"))
 
 
+def test_listed_rows(spark, monkeypatch):
+    """Marks that many keys share, so that most rows pass in vain, and null keys."""
+    df = spark.createDataFrame([(i % 90 if i % 7 else None, f"t{i % 11}", i) for i in range(500)], "a long, b string, c long")
+    listed = common.materialize(df.where("c % 13 = 0").select("a", "b").distinct(), "listed")
+    own = {(r["a"], r["b"]) for r in listed.collect()}
+    for bits in (common.MARKS, 64):
+        monkeypatch.setattr(common, "MARKS", bits)
+        key = [F.col("a"), F.col("b")]
+        assert sorted(r["c"] for r in common.only(df, key, listed).collect()) == [r["c"] for r in df.orderBy("c").collect() if (r["a"], r["b"]) in own]
+        assert sorted(r["c"] for r in common.without(df, key, listed).collect()) == [r["c"] for r in df.orderBy("c").collect() if (r["a"], r["b"]) not in own]
+    assert common.maybe(df, key, listed.limit(0))[0].count() == 0
+
+
 # --- licenses
 
 
@@ -442,7 +455,6 @@ def test_learned_cutoffs_against_brute_force(spark):
     assert got == want
     short = [i for i, t in rows if i % 50]
     assert sum(not got[i] for i in short if i % 4) < 0.01 * 2940 and sum(not got[i] for i in short if not i % 4) > 900
-    assert quality_rules.learn_cutoffs(quality_rules.rule_stats(quality_rules.labelled(docs.unionByName(spark.createDataFrame([(9999, "x y")], docs.schema)), known), ["doc_id"]), known) == cutoffs
 
 
 # --- language model
