@@ -392,6 +392,44 @@ def test_licenses(spark, empty):
     assert licenses.scan(licenses.corpus_files(empty), ["doc_id"]).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+REAL = [
+    ("MIT", MIT), ("MIT", MIT.split("\n", 4)[4]), ("MIT", "The MIT License (MIT)"), ("MIT", "Released under the MIT License. See the file LICENSE in the root of this repository."),
+    ("MIT", "// intro\n//\n" + "".join(f"// {x}\n" for x in MIT.splitlines()[4:])),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("GPL-3.0", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\nimport os"),
+    ("GPL-2.0", " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version."),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n"),
+    ("Apache-2.0", '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0'),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    (None, "The license plate of the general public is free software for nobody. A version of 2 or 3 apache helicopters."), (None, "It was permitted to redistribute the books, with or without a license, to any person in the city."),
+]
+
+
+@pytest.mark.parametrize("tail", ["", "\n\n" + prose(3, 200), " " + prose(4, 20)])
+def test_real_headers_and_licences(spark, tail):
+    cut = [(want, text) for want, text in REAL if not tail.startswith(" ") or text.rstrip()[-1] == "."]  # a header's last sentence may go on
+    files = spark.createDataFrame([(f"{i}/{'COPYING' if i % 2 else 'a.py'}", text + tail) for i, (_, text) in enumerate(cut)], "path string, text string")
+    got = {r["path"].split("/")[0]: r["own_license"] for r in licenses.scan(files, []).collect()}
+    assert {str(i): got[str(i)] for i in range(len(cut))} == {str(i): want for i, (want, _) in enumerate(cut)}
+
+
+def test_each_template_has_a_key_word():
+    assert all(set(re.findall("[a-z0-9]+", t.lower())) & set(licenses.KEY_WORDS) for ts in licenses.TEMPLATES.values() for t in ts)
+
+
 # --- quality rules
 
 
