@@ -28,6 +28,7 @@ class ShearConfig(SegmentConfig):
     freq_highpass: float = 0.15
     spatial_response_wavenum: float = 50.0
     waveno_cutoff_spatial_corr: float | None = None
+    waveno_spectral_min: float | None = None
     spike_threshold: float = 8.0
     max_tries: int = 10
     spike_replace_before: int = 512

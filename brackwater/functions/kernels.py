@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -24,19 +26,44 @@ def butter4(cutoff: float, fs: float, kind: str) -> list[tuple[np.ndarray, np.nd
     return out
 
 
-def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
-    """Direct form II transposed; a[0] is 1."""
-    n = max(len(a), len(b)) - 1
-    b, a = np.pad(b, (0, n + 1 - len(b))).tolist(), np.pad(a, (0, n + 1 - len(a))).tolist()
-    z = [0.0] * n if state is None else list(map(float, state))
-    out = []
-    for v in np.asarray(x, float).tolist():
+BLOCK = 64
+
+
+def _one_by_one(b: list[float], a: list[float], x: list[float], z: list[float]) -> tuple[list[float], list[float]]:
+    n, z, out = len(z), list(z), []
+    for v in x:
         y = b[0] * v + z[0]
         for i in range(n - 1):
             z[i] = b[i + 1] * v + z[i + 1] - a[i + 1] * y
         z[n - 1] = b[n] * v - a[n] * y
         out.append(y)
-    return np.array(out)
+    return out, z
+
+
+@lru_cache(maxsize=64)
+def _block_response(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block's answers and the state after it owe to its samples and to the state before it."""
+    n = len(b) - 1
+    unit = lambda k, m: [1.0 if i == k else 0.0 for i in range(m)]
+    by_sample = [_one_by_one(list(b), list(a), unit(k, BLOCK), [0.0] * n) for k in range(BLOCK)]
+    by_state = [_one_by_one(list(b), list(a), [0.0] * BLOCK, unit(k, n)) for k in range(n)]
+    return tuple(np.array([r[i] for r in rows]) for rows in (by_sample, by_state) for i in (0, 1))
+
+
+def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
+    """Direct form II transposed; a[0] is 1. Whole blocks by matrix products, the rest sample by sample."""
+    n = max(len(a), len(b)) - 1
+    b, a = (tuple(np.pad(np.asarray(v, float), (0, n + 1 - len(v))).tolist()) for v in (b, a))
+    x, z = np.asarray(x, float), np.zeros(n) if state is None else np.asarray(state, float)
+    m = len(x) // BLOCK if np.isfinite(x).all() else 0  # a sample that isn't finite spoils those after it, not its block
+    blocks = x[: m * BLOCK].reshape(m, BLOCK)
+    y_of_x, z_of_x, y_of_z, z_of_z = _block_response(b, a)
+    states, gained = np.empty((m, n)), blocks @ z_of_x
+    for k in range(m):
+        states[k] = z
+        z = z @ z_of_z + gained[k]
+    rest, _ = _one_by_one(list(b), list(a), x[m * BLOCK :].tolist(), z.tolist())
+    return np.concatenate([(blocks @ y_of_x + states @ y_of_z).ravel(), rest])
 
 
 def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -124,17 +151,33 @@ def deconvolve(x: np.ndarray, emphasized: np.ndarray, fs: float, gain: float) ->
 
 
 def deconvolve_fitted(x: np.ndarray | None, emphasized: np.ndarray, fs: float, gain: float) -> np.ndarray:
-    """deconvolve() with its start and scale fitted to x."""
+    """deconvolve(), regressed against x, which may be sampled more slowly. The emphasized signal is turned over if it falls with x by more than half.
+
+    The start is then corrected by the regression, so that the scaled result begins near x. Without x, the start is extrapolated from a line through the first two gains.
+    """
     if x is None:
-        return deconvolve(emphasized, emphasized, fs, gain)
-    x = x if len(x) == len(emphasized) else pchip(np.linspace(0, 1, len(x)), x, np.linspace(0, 1, len(emphasized)))
-    hires = deconvolve(x, emphasized, fs, gain)
-    slope, offset = np.polyfit(hires, x, 1)
-    if slope < -0.5:
+        t = np.arange(0, 2 * gain, 1 / fs)
+        slope, offset = np.polyfit(t, emphasized[: len(t)], 1)
+        return deconvolve(np.array([offset - gain * slope]), emphasized, fs, gain)
+    if len(x) != len(emphasized):
+        x = pchip(np.arange(len(x)) * len(emphasized) / len(x) / fs, x, np.arange(len(emphasized)) / fs)
+    if np.polyfit(x, emphasized, 1)[0] < -0.5:
         emphasized = -emphasized
-        hires = deconvolve(x, emphasized, fs, gain)
-        slope, offset = np.polyfit(hires, x, 1)
-    return slope * deconvolve((x - offset) / slope, emphasized, fs, gain) + offset
+    slope, offset = np.polyfit(deconvolve(x, emphasized, fs, gain), x, 1)
+    return slope * deconvolve((2 - slope) * x[:1] - offset, emphasized, fs, gain) + offset
+
+
+def lag_corrected(x: np.ndarray, tau: float, window: int = 200) -> np.ndarray:
+    """x plus tau times its slope per sample, for a sensor that lags behind: lines through half-overlapping windows and through both end halves, interpolated."""
+    if window % 2:
+        raise ValueError("the window must be even")
+    half = window // 2
+    if len(x) < window:
+        raise ValueError("the series must be as long as a window")
+    line = lambda v: np.polyfit(np.arange(v.shape[-1]), v.T, 1)[0]
+    parts = np.lib.stride_tricks.sliding_window_view(x, window)[::half]
+    slopes = np.concatenate([[line(parts[0, :half])], line(parts), [line(parts[-1, half:])]])
+    return x + tau * np.interp(np.arange(len(x)), np.arange(len(slopes)) * half, slopes)
 
 
 def pchip(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -250,15 +293,17 @@ def fit_batchelor(k: np.ndarray, psi: np.ndarray, noise: np.ndarray, chi: float,
 
 
 def temperature_dissipation(k: np.ndarray, psi: np.ndarray, noise: np.ndarray, limit: float, kmax: float) -> tuple[float, float, float]:
-    """chi, eps and the Batchelor wavenumber of one spectrum: integrate up to where noise takes over, fit, add the unresolved ends, fit again."""
+    """chi, eps and the Batchelor wavenumber of one spectrum: integrate up to where noise takes over (the last bin, if it always does), fit, add the model's
+    ends, below the first bin from three times k* on and from the last bin on, and fit again."""
     clear = np.flatnonzero(psi > 2 * noise)
-    k_hi = min(k[clear[-1]] if len(clear) else k[1], limit)
+    k_hi = min(k[clear[-1]] if len(clear) else k[-1], limit)
     chi = 6 * DIFFUSIVITY * integrate(psi, k, k[1], k_hi)
     if chi < 0:
         chi = 6 * DIFFUSIVITY * integrate(noise, k, k[1], k_hi)
     kb = fit_batchelor(k, psi, noise, chi, kmax)
-    k_lo = 0.04 * np.sqrt(DIFFUSIVITY / VISCOSITY) * kb
+    least = 3 * 0.04 * np.sqrt(DIFFUSIVITY / VISCOSITY) * kb
+    k_lo = k[np.argmax(k >= least)] if least >= k[1] else k[1]
     model = batchelor(k, chi, kb)
-    chi += 6 * DIFFUSIVITY * (integrate(model, k, 1e-3, k_lo) + integrate(model, k, k_hi, 2000.0))
+    chi += 6 * DIFFUSIVITY * (integrate(model, k, 1e-3, k_lo) + integrate(model, k, k[-1], 2000.0))
     kb = fit_batchelor(k, psi, noise, chi, kmax)
     return chi, kb**4 * VISCOSITY * DIFFUSIVITY**2, kb

@@ -22,7 +22,7 @@ def dissipation(slow: DataFrame, cfg: ShearConfig) -> DataFrame:
     v = cfg.log_psi_var
     first = slow.withColumn("molvisc", nu).withColumn("__psi", psi).withColumn("eps_first", S.eps_first(c("__psi"), c("waveno"), c("molvisc")))
     cut = first.withColumns({
-        "__cut1": S.cutoff(c("eps_first"), c("molvisc"), c("senspeed"), cfg.freq_cutoff_antialias, cfg.freq_cutoff_corrupt, cfg.waveno_cutoff_spatial_corr),
+        "__cut1": S.cutoff(c("eps_first"), c("molvisc"), c("senspeed"), cfg.freq_cutoff_antialias, cfg.freq_cutoff_corrupt, cfg.waveno_cutoff_spatial_corr, None if cfg.waveno_spectral_min is None else F.lit(float(cfg.waveno_spectral_min))),
         "__cut2": 0.01 * F.power(c("eps_first") / F.power(c("molvisc"), F.lit(3.0)), F.lit(0.25)),
     })
     two = cut.withColumns({"__eps2": S.eps_second(c("__psi"), c("waveno"), c("molvisc"), c("__cut1")), "eps_isr": S.inertial_fit(c("__psi"), c("waveno"), c("__cut2"))})

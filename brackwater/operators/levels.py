@@ -17,6 +17,11 @@ def _types(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df by keys, over as many tasks as the session's shuffles have: kernels cost time rather than bytes, which would put many groups into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def clean_shear(fast: DataFrame, cfg: ShearConfig, keys: list[str], index: str = "i") -> DataFrame:
     """Level 2: despiked, high-passed shear and num_despike_iter. Section 0 keeps NaN and 0."""
     ship(fast.sparkSession)
@@ -31,7 +36,7 @@ def clean_shear(fast: DataFrame, cfg: ShearConfig, keys: list[str], index: str =
             x = K.butterfilt(x, 0.5 * cfg.sampfreq / cfg.segment_length, cfg.sampfreq, "high")
         return g[rest].assign(shear=x, num_despike_iter=tries.astype(np.int32))
 
-    return fast.select(*rest, "shear").groupBy(*keys, "section_number").applyInPandas(clean, schema)
+    return _dealt(fast.select(*rest, "shear"), [*keys, "section_number"]).groupBy(*keys, "section_number").applyInPandas(clean, schema)
 
 
 def chunk_spectra(fast: DataFrame, cfg: SegmentConfig, keys: list[str], x: str, y: str | None = None, index: str = "i", conserve: bool = True) -> DataFrame:
@@ -44,21 +49,26 @@ def chunk_spectra(fast: DataFrame, cfg: SegmentConfig, keys: list[str], x: str,
 
     def spectra(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(index, kind="stable")
-        rows = []
-        for c, a in enumerate(range(0, len(g) - length + 1, step)):
-            part = g.iloc[a : a + length]
-            v = part[x].to_numpy(float)
-            f, p = K.welch(v, cfg.sampfreq, cfg.segment_length, cfg.segment_overlap, part[y].to_numpy(float) if y else None)
-            im = np.imag(p)
-            p = np.real(p)
-            if conserve and not y:
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    p = K.variance_conserving(p, f[1] - f[0], v)
-            tries = part[extra[0]].to_numpy() if extra else np.zeros(1)
-            rows.append((*g[keys].iloc[0], int(g["section_number"].iloc[0]), c, part["time"].iloc[length // 2], part["senspeed"].mean(), f, p, im, float((tries > 0).sum() / length), int(tries.max())))
-        return pd.DataFrame(rows, columns=[*keys, "section_number", "chunk", "time", "senspeed", "freq", "psi_f", "psi_im", "spike_fraction", "max_despike_iter"])
-
-    return fast.where("section_number <> 0").select(*cols).groupBy(*keys, "section_number").applyInPandas(spectra, schema)
+        n = max(0, (len(g) - length) // step + 1)
+        if not n:
+            return pd.DataFrame(columns=names)
+        cut = lambda c: np.lib.stride_tricks.sliding_window_view(g[c].to_numpy(float), length)[::step]
+        v = cut(x)
+        f, p = K.welch(v, cfg.sampfreq, cfg.segment_length, cfg.segment_overlap, cut(y) if y else None)
+        im, p = np.imag(p), np.real(p)
+        if conserve and not y:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = K.variance_conserving(p, f[1] - f[0], v)
+        tries = cut(extra[0]) if extra else np.zeros((n, 1))
+        first = g.iloc[0]
+        return pd.DataFrame({
+            **{k: [first[k]] * n for k in keys}, "section_number": int(first["section_number"]), "chunk": np.arange(n), "time": g["time"].to_numpy()[length // 2 :: step][:n], "senspeed": cut("senspeed").mean(1),
+            "freq": [f] * n, "psi_f": list(p), "psi_im": list(im), "spike_fraction": (tries > 0).sum(1) / length, "max_despike_iter": tries.max(1).astype(np.int32),
+        })[names]
+
+    names = [*keys, "section_number", "chunk", "time", "senspeed", "freq", "psi_f", "psi_im", "spike_fraction", "max_despike_iter"]
+    own = [*keys, "section_number"]
+    return _dealt(fast.where("section_number <> 0").select(*cols), own).groupBy(*own).applyInPandas(spectra, schema)
 
 
 def shear_wavenumber(slow: DataFrame, cfg: ShearConfig) -> DataFrame:
@@ -111,4 +121,4 @@ def filtered(df: DataFrame, keys: list[str], index: str, x: str, out: str, kerne
         g = g.sort_values(index, kind="stable")
         return g.assign(**{out: kernel(g[x].to_numpy(float))})
 
-    return df.groupBy(*keys).applyInPandas(run, f"{_types(df, rest)}, {out} double")
+    return _dealt(df, keys).groupBy(*keys).applyInPandas(run, f"{_types(df, rest)}, {out} double")

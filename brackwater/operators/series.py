@@ -56,6 +56,13 @@ def chunk_members(df: DataFrame, keys: list[str], index: str, length: int, overl
     return own.where("__first <= __last").withColumn(out, F.explode(F.sequence("__first", "__last"))).withColumn("pos", i - F.col(out) * step).drop("__n", "__first", "__last")
 
 
+def half_overlap(df: DataFrame, keys: list[str], index: str, width: int, out: str = "chunk") -> DataFrame:
+    """chunk_members() of windows that overlap by half, whose width has to be even."""
+    if width % 2:
+        raise ValueError("windows that overlap by half need an even width")
+    return chunk_members(df, keys, index, width, width // 2, out)
+
+
 def aggregate(method: str, x: str, length: int, pos: str = "pos") -> Column:
     """A chunk's value of x by a method's name."""
     at = {"take_first": 0, "take_mid": length // 2, "take_last": length - 1}
@@ -91,14 +98,19 @@ def enlarge(flag: Column, keys: list[str], index: str, before: int, after: int)
     return F.max(flag).over(Window.partitionBy(*keys).orderBy(index).rowsBetween(-after, before))
 
 
-def flag_outliers(df: DataFrame, keys: list[str], index: str, x: str, window: int, factor: float) -> DataFrame:
-    """outlier: samples that lie factor standard deviations off the straight line through their window of so many samples."""
+def flag_outliers(df: DataFrame, keys: list[str], index: str, x: str, window: int, factor: float, max_spike_len: int = 5) -> DataFrame:
+    """outlier: samples that lie factor standard deviations off the straight line through their window of so many samples, unless
+    more than max_spike_len of them in the window follow one another: that is no spike."""
     w = Window.partitionBy(*keys, "__w")
     own = df.withColumn("__w", F.floor(F.col(index) / window))
     line = own.withColumn("__a", F.regr_slope(F.col(x), F.col(index).cast("double")).over(w)).withColumn("__b", F.regr_intercept(F.col(x), F.col(index).cast("double")).over(w))
     off = line.withColumn("__d", F.abs(F.col(x) - F.col("__a") * F.col(index) - F.col("__b")))
     sd = F.sqrt(F.avg(F.col("__d") * F.col("__d")).over(w))
-    return off.withColumn("outlier", F.coalesce(F.col("__d") >= factor * sd, F.lit(False))).drop("__w", "__a", "__b", "__d")
+    flagged = off.withColumn("__o", F.coalesce(F.col("__d") >= factor * sd, F.lit(False)))
+    in_order = w.orderBy(index)
+    turn = flagged.withColumn("__t", (F.col("__o") != F.coalesce(F.lag("__o").over(in_order), ~F.col("__o"))).cast("int")).withColumn("__t", F.sum("__t").over(in_order))
+    run = F.count(F.lit(1)).over(Window.partitionBy(*keys, "__w", "__t"))
+    return turn.withColumn("outlier", F.col("__o") & (run <= max_spike_len)).drop("__w", "__a", "__b", "__d", "__o", "__t")
 
 
 def interpolate(df: DataFrame, keys: list[str], index: str, x: str, bad: Column, out: str) -> DataFrame:

@@ -147,19 +147,20 @@ def enlarge_flags(spark, d):
 
 _OUTLIERS = f"""{FAST}, lw AS (SELECT *, i // 16 AS w FROM fast),
     ln AS (SELECT *, coalesce(regr_slope(value, i::DOUBLE) OVER p, NULL) AS a, regr_intercept(value, i::DOUBLE) OVER p AS b FROM lw WINDOW p AS (PARTITION BY section_number, w)),
-    dv AS (SELECT *, abs(value - a * i - b) AS dd FROM ln), o AS (SELECT *, coalesce(dd >= 1.7 * sqrt(avg(dd * dd) OVER (PARTITION BY section_number, w)), false) AS outlier FROM dv)"""
+    dv AS (SELECT *, abs(value - a * i - b) AS dd FROM ln), fl AS (SELECT *, coalesce(dd >= 1.7 * sqrt(avg(dd * dd) OVER (PARTITION BY section_number, w)), false) AS f FROM dv),
+    tn AS (SELECT *, i - row_number() OVER (PARTITION BY section_number, w, f ORDER BY i) AS run FROM fl), o AS (SELECT *, f AND count(*) OVER (PARTITION BY section_number, w, f, run) <= 1 AS outlier FROM tn)"""
 
 
 @query(f"WITH {_OUTLIERS} SELECT section_number, i, outlier FROM o")
 def flag_outliers(spark, d):
-    return R.flag_outliers(fast(spark, d), KEY, "i", "value", 16, 1.7).select("section_number", "i", "outlier")
+    return R.flag_outliers(fast(spark, d), KEY, "i", "value", 16, 1.7, 1).select("section_number", "i", "outlier")
 
 
 @query(f"""WITH {_OUTLIERS}, n AS (SELECT *, max(CASE WHEN NOT outlier THEN i END) OVER (PARTITION BY section_number ORDER BY i) AS pi, min(CASE WHEN NOT outlier THEN i END) OVER (PARTITION BY section_number ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS qi FROM o),
     v AS (SELECT n.*, p.value AS pv, q.value AS qv FROM n LEFT JOIN fast p ON p.section_number = n.section_number AND p.i = n.pi LEFT JOIN fast q ON q.section_number = n.section_number AND q.i = n.qi)
     SELECT section_number, i, round(CASE WHEN NOT outlier THEN value WHEN pi IS NULL THEN qv WHEN qi IS NULL THEN pv ELSE pv + (qv - pv) * (i - pi) / (qi - pi) END, 6) AS value FROM v""")
 def interpolate_outliers(spark, d):
-    flagged = R.flag_outliers(fast(spark, d), KEY, "i", "value", 16, 1.7)
+    flagged = R.flag_outliers(fast(spark, d), KEY, "i", "value", 16, 1.7, 1)
     return R.interpolate(flagged, KEY, "i", "value", F.col("outlier"), "v").select("section_number", "i", _r("v").alias("value"))
 
 
@@ -212,11 +213,35 @@ def lowpass_causal(spark, d):
     return L.filtered(fast(spark, d), KEY, "i", "value", "low", lambda x: K.lfilter(_B, _A, x)).select("section_number", "i", _r("low").alias("low"))
 
 
-@query()
+_ZI = float(K.steady_state(_B, _A)[0])
+
+
+def _pass_sql(name: str, source: str, value: str) -> str:
+    """One way of the filter over source's (section_number, j, value), j from 0, from a steady state."""
+    b0, b1, a1 = float(_B[0]), float(_B[1]), float(_A[1])
+    return f"""{name} AS (SELECT section_number, j, {value} AS x, {b0 + _ZI!r} * {value} AS y FROM {source} WHERE j = 0
+    UNION ALL SELECT f.section_number, f.j, f.{value}, {b0!r} * f.{value} + {b1!r} * p.x - {a1!r} * p.y FROM {name} p JOIN {source} f ON f.section_number = p.section_number AND f.j = p.j + 1)"""
+
+
+@query(f"""WITH RECURSIVE {FAST}, m AS (SELECT section_number, max(i) AS m, arg_min(value, i) AS a, arg_max(value, i) AS z FROM fast GROUP BY section_number),
+    ext AS (SELECT section_number, i + 6 AS j, value AS v FROM fast UNION ALL SELECT section_number, 6 - i, 2 * a - value FROM fast JOIN m USING (section_number) WHERE i BETWEEN 1 AND 6
+            UNION ALL SELECT section_number, 2 * m - i + 6, 2 * z - value FROM fast JOIN m USING (section_number) WHERE i BETWEEN m - 6 AND m - 1),
+    {_pass_sql("there", "ext", "v")}, turned AS (SELECT section_number, m + 12 - j AS j, y AS v FROM there JOIN m USING (section_number)), {_pass_sql("back", "turned", "v")}
+    SELECT section_number, m + 6 - j AS i, round(y, 6) AS low FROM back JOIN m USING (section_number) WHERE m + 6 - j BETWEEN 0 AND m""")
 def lowpass_zero_phase(spark, d):
     return L.filtered(fast(spark, d), KEY, "i", "value", "low", lambda x: K.butterfilt(x, 0.05, 1.0, "low")).select("section_number", "i", _r("low").alias("low"))
 
 
+@query(f"""WITH {FAST}, win AS (SELECT section_number, max(i) // 16 - 1 + (CASE WHEN max(i) % 16 = 15 THEN 1 ELSE 0 END) AS n FROM fast GROUP BY section_number),
+    nodes AS (SELECT section_number, n, unnest(range(0, n + 2)) AS k FROM win WHERE n >= 1),
+    sl AS (SELECT nodes.section_number, k, any_value(n) AS n, regr_slope(value, i::DOUBLE) AS s FROM nodes JOIN fast ON fast.section_number = nodes.section_number AND i BETWEEN CASE WHEN k = 0 THEN 0 WHEN k = n + 1 THEN n * 16 ELSE (k - 1) * 16 END
+           AND CASE WHEN k = 0 THEN 15 WHEN k = n + 1 THEN n * 16 + 15 ELSE (k - 1) * 16 + 31 END GROUP BY nodes.section_number, k)
+    SELECT f.section_number, f.i, round(value + 5.0 * (a.s + coalesce((b.s - a.s) * (f.i - a.k * 16) / 16.0, 0)), 6) AS value FROM fast f JOIN sl a ON a.section_number = f.section_number AND a.k = least(f.i // 16, a.n + 1)
+    LEFT JOIN sl b ON b.section_number = f.section_number AND b.k = a.k + 1""")
+def lag_corrected(spark, d):
+    return L.filtered(fast(spark, d), KEY, "i", "value", "v", lambda x: K.lag_corrected(x, 5.0, 32)).select("section_number", "i", _r("v").alias("value"))
+
+
 @query()
 def despiked(spark, d):
     f = fast(spark, d).withColumnRenamed("value", "shear").withColumn("cast", F.lit(1))
@@ -248,10 +273,13 @@ def shear_spectra(spark, d):
     return out.select("section_number", "chunk", F.posexplode(F.arrays_zip("waveno", "psi_f", "psi_k")).alias("bin", "x")).where("bin > 0").select("section_number", "chunk", "bin", *[_r(F.col("x")[c]).alias(c) for c in ("waveno", "psi_f", "psi_k")])
 
 
-@query()
+@query(f"""WITH {FAST}, {CHUNK}, seg AS (SELECT section_number, chunk, s, pos - s * 8 AS j, value - avg(value) OVER g AS x, senspeed - avg(senspeed) OVER g AS y FROM (SELECT *, unnest(range(0, 3)) AS s FROM member) WHERE pos BETWEEN s * 8 AND s * 8 + 15 WINDOW g AS (PARTITION BY section_number, chunk, s)),
+    win AS (SELECT *, 0.5 - 0.5 * cos(2 * pi() * j / 16) AS w FROM seg), wn AS (SELECT sum((0.5 - 0.5 * cos(2 * pi() * j / 16)) ** 2) AS w2 FROM range(0, 16) t(j)),
+    ft AS (SELECT section_number, chunk, s, m, sum(x * w * cos(2 * pi() * j * m / 16)) AS cx, sum(x * w * sin(2 * pi() * j * m / 16)) AS sx, sum(y * w * cos(2 * pi() * j * m / 16)) AS cy, sum(y * w * sin(2 * pi() * j * m / 16)) AS sy FROM win, range(0, 9) f(m) GROUP BY ALL)
+    SELECT section_number, chunk::BIGINT AS chunk, m::INT AS bin, round(avg(cx * cy + sx * sy) / any_value(w2) * CASE WHEN m IN (0, 8) THEN 1 ELSE 2 END, 6) + 0.0 AS re, round(avg(sx * cy - cx * sy) / any_value(w2) * CASE WHEN m IN (0, 8) THEN 1 ELSE 2 END, 6) + 0.0 AS im FROM ft, wn GROUP BY section_number, chunk, m""")
 def cross_spectra(spark, d):
     out = L.chunk_spectra(_level1(spark, d).withColumn("cast", F.lit(1)), CFG, ["cast"], "value", "senspeed")
-    return out.select("section_number", "chunk", F.posexplode(F.arrays_zip("psi_f", "psi_im")).alias("bin", "x")).select("section_number", "chunk", "bin", _r("x.psi_f").alias("re"), _r("x.psi_im").alias("im"))
+    return out.select("section_number", "chunk", F.posexplode(F.arrays_zip("psi_f", "psi_im")).alias("bin", "x")).select("section_number", "chunk", "bin", (_r("x.psi_f") + 0.0).alias("re"), (_r("x.psi_im") + 0.0).alias("im"))
 
 
 def _spectra(spark: SparkSession, d: str) -> DataFrame:

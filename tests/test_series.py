@@ -263,3 +263,76 @@ def test_hhl_stream(spark, tmp_path):
     q = hhl.decode_stream(stream).writeStream.format("memory").queryName("hhl").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(90)
     assert sorted(map(tuple, (r["ch"] for r in spark.table("hhl").collect()))) == sorted(map(tuple, s.tolist()))
+
+
+@pytest.mark.parametrize("n", [5, 64, 200, 1000])
+def test_filters_by_blocks(n):
+    x = np.random.default_rng(n).normal(size=n)
+    for b, a in (K.butter1(0.05, 1.0, "low"), K.butter1(0.05, 1.0, "high"), *K.butter4(0.2, 10.0, "low")):
+        z = np.full(len(a) - 1, 0.3)
+        want, _ = K._one_by_one(b.tolist(), a.tolist(), x.tolist(), z.tolist())
+        assert K.lfilter(b, a, x, z) == pytest.approx(want, abs=1e-12)
+    spoilt = K.lfilter(*K.butter1(0.05, 1.0, "low"), np.where(np.arange(n) == 3, np.nan, x))
+    assert np.isfinite(spoilt[:3]).all() and np.isnan(spoilt[3:]).all()
+
+
+def test_deconvolution_of_turned_slow_and_missing_signals():
+    """The emphasized signal of x is x + gain dx/dt; turned over, as it may be, and with x sampled eight times more slowly."""
+    fs, gain, t = 64.0, 1.5, np.arange(4096) / 64.0
+    x = 10 + np.sin(t / 3) + 0.1 * np.sin(4 * t)
+    emph = x + gain * np.gradient(x, 1 / fs)
+    want = K.deconvolve_fitted(x, emph, fs, gain)
+    assert np.abs(want - x)[64:].max() < 0.05
+    assert K.deconvolve_fitted(x, -emph, fs, gain) == pytest.approx(want, abs=1e-9)
+    slow = K.deconvolve_fitted(x[::8], emph, fs, gain)
+    assert np.abs(slow - want)[:-8].max() < 1e-2
+    line = 3 + 0.2 * t
+    assert K.deconvolve_fitted(None, line + gain * 0.2, fs, gain)[-1] == pytest.approx(line[-1], abs=0.05)
+
+
+def test_lag_correction():
+    x = 2 + 0.5 * np.arange(1000.0)
+    assert K.lag_corrected(x, 55) == pytest.approx(x + 55 * 0.5)
+    with pytest.raises(ValueError):
+        K.lag_corrected(x, 55, 201)
+    with pytest.raises(ValueError):
+        K.lag_corrected(x[:100], 55)
+
+
+def test_half_overlap_needs_an_even_width(ramp):
+    assert R.half_overlap(ramp, ["section_number"], "i", 4).where("section_number = 1").agg(F.max("chunk")).first()[0] == 18
+    with pytest.raises(ValueError):
+        R.half_overlap(ramp, ["section_number"], "i", 5)
+
+
+def test_long_runs_are_no_spikes(spark):
+    x = [0.0] * 40
+    x[5:7], x[20:29] = [50.0] * 2, [50.0] * 9
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "k int, i long, x double")
+    flags = lambda n: [r["i"] for r in R.flag_outliers(df, ["k"], "i", "x", 40, 1.2, n).where("outlier").orderBy("i").collect()]
+    assert flags(99) == [5, 6, *range(20, 29)] and flags(5) == [5, 6] and flags(1) == []
+
+
+def test_lowest_limit_of_the_integration(spark):
+    from dataclasses import replace
+
+    cfg = ShearConfig(sampfreq=1.0, segment_length=16, segment_overlap=8, chunk_length=32, chunk_overlap=16)
+    df = spark.createDataFrame([([0.0] + [1e-4] * 40, [float(i) for i in range(41)], 0.7)], "psi_k array<double>, waveno array<double>, senspeed double")
+    points = lambda c: D.dissipation(df, c).first()["num_spec_points"]
+    assert points(replace(cfg, waveno_spectral_min=5.0)) == 5 < points(cfg)
+
+
+@pytest.mark.parametrize("wide", [60.0, 2000.0])
+def test_temperature_tails(wide):
+    """The low end stops at the first bin from three times k* on, at bin 1 at least; the high end begins at the last bin; without a clear bin the whole spectrum counts."""
+    k, six = np.arange(0, 30.0), 6 * K.DIFFUSIVITY
+    for psi, noise in ((K.batchelor(k, 1e-8, wide), np.full(30, 1e-12)), (np.full(30, 1e-9), np.full(30, 1e-9))):
+        clear = [i for i in range(30) if psi[i] > 2 * noise[i]]
+        first = six * K.integrate(psi, k, 1.0, k[clear[-1]] if clear else 29.0)
+        kb = K.fit_batchelor(k, psi, noise, first, 3 * wide)
+        star = 3 * 0.04 * math.sqrt(1.4e-7 / 1.6e-6) * kb
+        low = next((x for x in k if x >= star), 0.0) if star >= 1 else 1.0
+        model = K.batchelor(k, first, kb)
+        want = first + six * (sum((model[i] + model[i + 1]) / 2 for i in range(1, int(low))) + (model[1] / 2 if low >= 1 else 0) + (model[int(low)] / 2 if 1 <= low < 29 else 0) + model[29] / 2)
+        got, eps, kb = K.temperature_dissipation(k, psi, noise, 500.0, 3 * wide)
+        assert got == pytest.approx(want, rel=1e-9) and eps == pytest.approx(kb**4 * 1.6e-6 * 1.4e-7**2)
