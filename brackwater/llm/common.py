@@ -188,7 +188,7 @@ def unpack_sorted(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpack(data, dtype), dtype=dtype)
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str, per_task: int = 100_000) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str, per_task: int = 1_000) -> DataFrame:
     """Add a rank, gapless from 0 within each group, without bringing a whole group into one task. df: a written table, as it is read three times; its groups are few.
 
     Rows of a group are dealt by a hash of the order columns to as many buckets as the group's size asks for. The buckets' sizes,
