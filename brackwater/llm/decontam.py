@@ -1,6 +1,6 @@
 """Benchmark decontamination through a distributed positional inverted index.
 
-`build_index` stores, for lots of about half a million training words, each word's positions: one row per lot, written to the shared
+`build_index` stores, for lots of about a million training words, each word's positions: one row per lot, written to the shared
 folder, whatever benchmark may come. `search` takes windows of benchmark words. For each lot it orders a window's terms by the length of their
 position lists, starts from the rarest, shifts each list by its term's offset and intersects; what is left are the starts of exact phrases.
 With a slop, of any size, it also reports windows whose distinct terms all lie within window + slop words of one document, in any order.
@@ -27,7 +27,7 @@ from .common import materialize, pack, trimmed, unpack
 WINDOW = 10
 SLOP = 5  # what the query allows
 GAP = 1  # a place between two documents of a lot, so that no phrase runs over; proximity looks at documents' ends
-LOT_WORDS = 500_000
+LOT_WORDS = 1_000_000
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 INDEX = "lot string, doc_ids array<bigint>, n_words binary, terms binary, counts binary, positions binary"
@@ -135,15 +135,18 @@ def match_lot(row: dict, q: Queries, slop: int | None = None) -> tuple[np.ndarra
 def _near(places: dict, ts: np.ndarray, rarest: np.ndarray, reach: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Documents in which some stretch of `reach` words holds all distinct terms. The rarest term's places are thinned to those with every other term in reach and
     in their document; a stretch that holds one of these begins at a place of some term."""
-    own = list(dict.fromkeys(int(ts[j]) for j in rarest))
+    own = list(dict.fromkeys(ts[rarest].tolist()))
     anchors = places[own[0]]
+    for t in own[1:]:  # wherever documents end, which few places are left to ask
+        p = places[t]
+        anchors = anchors[p.searchsorted(anchors - (reach - 1)) < p.searchsorted(anchors + reach)]
+        if not len(anchors):
+            return anchors
     doc = np.searchsorted(starts, anchors, "right") - 1
     first, last = np.maximum(anchors - reach + 1, starts[doc]), np.minimum(anchors + reach, ends[doc])
     for t in own[1:]:
         ok = _any_in(places[t], first, last)
         first, last, doc, anchors = first[ok], last[ok], doc[ok], anchors[ok]
-        if not len(first):
-            return doc
     found = []
     for t in own:
         p = places[t]
@@ -258,5 +261,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_ids of documents with a phrase of the benchmark."""
-    return search(build_index(docs), benchmark).where("n_hit > 0").select("doc_id")
+    """doc_ids of documents with a phrase of the benchmark. Lots are half as large, since workers hold memory of other stages."""
+    return search(build_index(docs, lot_words=LOT_WORDS // 2), benchmark).where("n_hit > 0").select("doc_id")
