@@ -127,13 +127,13 @@ def match_lot(row: dict, q: Queries, slop: int | None = None) -> tuple[np.ndarra
                 found_w.append(np.full(len(hits), w))
                 found_p.append(hits)
             if slop is not None:
-                near |= {(int(w), int(d)) for d in _near(places, ts, rarest, len(ts) + slop, starts, starts + sizes)}
+                near |= {(int(w), int(d)) for d in _near(places, ts, rarest, len(ts) + slop, starts, starts + sizes, np.unique(np.searchsorted(starts, hits, "right") - 1))}
     cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64)
     return sizes, starts, cat(found_w), cat(found_p), near
 
 
-def _near(places: dict, ts: np.ndarray, rarest: np.ndarray, reach: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Documents in which some stretch of `reach` words holds all distinct terms. The rarest term's places are thinned to those with every other term in reach and
+def _near(places: dict, ts: np.ndarray, rarest: np.ndarray, reach: int, starts: np.ndarray, ends: np.ndarray, exact: np.ndarray) -> np.ndarray:
+    """exact (documents with the phrase itself, which needs no further look) and documents in which some stretch of `reach` words holds all distinct terms. The rarest term's places are thinned to those with every other term in reach and
     in their document; a stretch that holds one of these begins at a place of some term."""
     own = list(dict.fromkeys(ts[rarest].tolist()))
     anchors = places[own[0]]
@@ -141,13 +141,17 @@ def _near(places: dict, ts: np.ndarray, rarest: np.ndarray, reach: int, starts:
         p = places[t]
         anchors = anchors[p.searchsorted(anchors - (reach - 1)) < p.searchsorted(anchors + reach)]
         if not len(anchors):
-            return anchors
+            return exact
     doc = np.searchsorted(starts, anchors, "right") - 1
+    other = ~np.isin(doc, exact)
+    doc, anchors = doc[other], anchors[other]
     first, last = np.maximum(anchors - reach + 1, starts[doc]), np.minimum(anchors + reach, ends[doc])
     for t in own[1:]:
         ok = _any_in(places[t], first, last)
         first, last, doc, anchors = first[ok], last[ok], doc[ok], anchors[ok]
-    found = []
+    if not len(doc):
+        return exact
+    found = [exact]
     for t in own:
         p = places[t]
         lo, hi = np.searchsorted(p, first), np.searchsorted(p, anchors, "right")  # places at or before the anchor
