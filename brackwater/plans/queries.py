@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,12 @@ from pyspark.sql.window import Window
 
 from ..config import ShearConfig, UTempConfig
 from ..functions import kernels as K
+from ..functions import seawater as W
 from ..functions import spectra as S
 from ..operators import calibration as C
 from ..operators import dissipation as D
 from ..operators import levels as L
+from ..operators import mss as M
 from ..operators import series as R
 from ..shipping import ship
 from ..streaming import hhl
@@ -178,6 +181,84 @@ def mss_calibration(spark, d):
     )
 
 
+MSS = M.MssDevice([M.MssSensor("PRESS", 1, "P", [0.0, 0.005, 0.0, 0.0, 0.0, 2.0]), M.MssSensor("TEMP", 2, "N", [1.0, 0.01, 0.0, 0.0, 0.0, 0.0]), M.MssSensor("SHE1", 3, "SHE", [], sensitivity=4e-4)], offset=100)
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(0.005 * (l_partkey + 100) - 2.0 + 1e-9, 6) AS PRESS, round(1.0 + 0.01 * (l_suppkey + 100) + 1e-9, 6) AS TEMP,
+    round(1e6 * (1.47133e-6 / 4e-4 + 2.94266e-6 / 4e-4 * (l_quantity::DOUBLE - 100)), 6) AS SHE1 FROM lineitem""")
+def mss_level0(spark, d):
+    counts = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(*[F.col(c).cast("int") for c in ("l_partkey", "l_suppkey", "l_quantity")]).alias("ch"))
+    x = M.level0(counts, MSS)
+    return x.select("l_orderkey", "l_linenumber", _r(F.col("PRESS") + 1e-9).alias("PRESS"), _r(F.col("TEMP") + 1e-9).alias("TEMP"), _r(1e6 * F.col("SHE1")).alias("SHE1"))
+
+
+class _Sql(str):
+    """An expression in SQL that grows by + and *; numbers are DOUBLE."""
+
+    @staticmethod
+    def of(x) -> str:
+        return x if isinstance(x, str) else f"{float(x)!r}::DOUBLE"
+
+    def __add__(self, x):
+        return _Sql(f"({self.of(self)} + {self.of(x)})")
+
+    def __mul__(self, x):
+        return _Sql(f"({self.of(self)} * {self.of(x)})")
+
+    def __rmul__(self, x):
+        return self * x
+
+    def __radd__(self, x):
+        return self + x
+
+
+def _seawater_sql(source: str) -> str:
+    """sw: source's rows with columns c, t and p, and their psal, sa, ct, dens; salinities below 2 are not in these tables."""
+    v = {n: _Sql(n) for n in ("c", "t", "p", "r", "q", "x", "y", "z", "w")}
+    d1, d2, d3, d4 = W.PSS_D
+    out = [f"n0 AS (SELECT *, t * 1.00024 AS q, c / {W.C3515}::DOUBLE AS r FROM {source})"]
+    out.append(f"""n1 AS (SELECT *, sqrt(r / ((1 + p * {W.horner(W.PSS_E, v['p'])} / (1 + q * ({d1} + {d2} * q) + r * ({d3} + {d4} * q))) * {W.horner(W.PSS_C, v['q'])})) AS w, (q - 15) / (1 + {W.PSS_K} * (q - 15)) AS f FROM n0)""")
+    out.append(f"n2 AS (SELECT *, {W.horner(W.PSS_A, v['w'])} + f * {W.horner(W.PSS_B, v['w'])} AS psal FROM n1), n3 AS (SELECT *, psal * ({W.SSO}::DOUBLE / 35) AS sa FROM n2)")
+    out.append(f"n4 AS (SELECT *, sqrt({W.SCALE}::DOUBLE * sa) AS x, t / 40 AS y, p / 1e4 AS z FROM n3), n5 AS (SELECT * REPLACE (t / 40 AS y), {W.series(W.ENTROPY, v['x'], v['y'], v['z'])} AS aim FROM n4)")
+    for k in range(4):
+        out.append(f"n{k + 6} AS (SELECT * REPLACE (y - ({W.series(W.ENTROPY, v['x'], v['y'])} - aim) / {W.series(W.ENTROPY_SLOPE, v['x'], v['y'])} AS y) FROM n{k + 5})")
+    out.append(f"n10 AS (SELECT *, {W.series(W.ENTHALPY, v['x'], v['y'])} / {W.CP0}::DOUBLE AS ct FROM n9), n11 AS (SELECT * REPLACE (sqrt({W.SCALE}::DOUBLE * sa + {W.SHIFT}::DOUBLE) AS x, ct / 40 AS y) FROM n10)")
+    return ", ".join([*out, f"sw AS (SELECT *, 1 / {W.series(W.VOLUME, v['x'], v['y'], v['z'])} AS dens, 1 / {W.series(W.VOLUME, v['x'], v['y'])} - 1000 AS sig FROM n11)"])
+
+
+@query(f"""WITH d AS (SELECT l_orderkey, l_linenumber, 20 + (l_partkey % 400) / 10::DOUBLE AS c, l_quantity::DOUBLE / 2 AS t, (l_suppkey % 100)::DOUBLE * 10 AS p FROM lineitem), {_seawater_sql("d")}
+    SELECT l_orderkey, l_linenumber, round(psal, 6) AS psal, round(sa, 6) AS sa, round(ct, 6) AS ct, round(dens, 5) AS density, round(sig, 5) AS sigma0 FROM sw""")
+def seawater(spark, d):
+    x = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (20 + F.col("l_partkey") % 400 / 10.0).alias("c"), (F.col("l_quantity").cast("double") / 2).alias("t"), ((F.col("l_suppkey") % 100).cast("double") * 10).alias("p"))
+    return M.with_seawater(x, "c", "t", "p").select("l_orderkey", "l_linenumber", *[_r(c, 5 if c in ("density", "sigma0") else 6).alias(c) for c in M.SEAWATER])
+
+
+CAST = M.MssDevice([M.MssSensor(n, i + 1, "N", [0.0, 1.0]) for i, n in enumerate(["PRESS", "TEMP", "COND", "NTC", "NTCHP", "SHE1"])], {"press": "PRESS", "temp": "TEMP", "cond": "COND"}, sampfreq=16.0, speed="constant", constant_speed=0.7)
+
+
+def _cast(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value")
+    return fast(spark, d).select("section_number", "i", (F.col("i") * 0.04).alias("PRESS"), (v / 10 + 2).alias("TEMP"), (v / 20 + 30).alias("COND"), v.alias("NTC"), (v * 1.5).alias("NTCHP"), (v / 100).alias("SHE1"))
+
+
+_HB, _HA = (tuple(float(u) for u in w) for w in K.butter1(1 / (2 * np.pi * 1.5), 16.0, "low"))
+
+
+@query(f"""WITH RECURSIVE {FAST}, d AS (SELECT section_number, i, value / 20 + 30 AS c, value / 10 + 2 AS t, i * 0.04::DOUBLE AS p FROM fast), {_seawater_sql("d")},
+    u AS (SELECT section_number, i, value * 1.5 AS x, {_HB[0]!r}::DOUBLE * value * 1.5 + {_HB[1]!r}::DOUBLE * value * 1.5 - {_HA[1]!r}::DOUBLE * value AS y FROM fast WHERE i = 0
+    UNION ALL SELECT f.section_number, f.i, f.value * 1.5, {_HB[0]!r}::DOUBLE * f.value * 1.5 + {_HB[1]!r}::DOUBLE * u.x - {_HA[1]!r}::DOUBLE * u.y FROM u JOIN fast f ON f.section_number = u.section_number AND f.i = u.i + 1)
+    SELECT section_number, i, round(i / 16.0::DOUBLE, 6) AS time, 0.7::DOUBLE AS senspeed, round(psal, 6) AS psal, round(ct, 6) AS ct, round(dens, 5) AS density, round(u.y, 6) AS utemp FROM sw JOIN u USING (section_number, i)""")
+def mss_level1(spark, d):
+    x = M.level1(_cast(spark, d), CAST, KEY)
+    return x.select("section_number", "i", _r("time").alias("time"), "senspeed", *[_r(c).alias(c) for c in ("psal", "ct")], _r("density", 5).alias("density"), _r("utemp").alias("utemp"))
+
+
+@query()
+def mss_shear(spark, d):
+    """Speed by pressure, and shear by probe."""
+    return M.level1(_cast(spark, d), replace(CAST, speed="pressure"), KEY).select("section_number", "i", _r("senspeed").alias("senspeed"), _r("SHE1").alias("shear"))
+
+
 _ADC = {"adc_fs": 4.096, "adc_bits": 16}
 
 

@@ -3,9 +3,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
@@ -50,11 +52,10 @@ def mrd_samples(packets: bytes) -> tuple[np.ndarray, dict]:
     low, high = words[raw[:, 0] == 7], words[raw[:, 0] == 8]
     m = min(len(low), len(high))
     about: dict = {}
-    for kind, w in zip(raw[:, 0], words, strict=True):
-        if kind == 1 and "time" not in about:
-            about["time"] = [int(w[i]) for i in (0, 1, 2, 4, 5, 6)]
-        if kind == 3 and "position" not in about:
-            about["position"] = [mrd_coordinate(int(w[i]), int(w[i + 1])) for i in (0, 2)]
+    for kind, name in ((1, "time"), (3, "position")):
+        if len(at := np.flatnonzero(raw[:, 0] == kind)[:1]):
+            w = words[at[0]]
+            about[name] = [int(w[i]) for i in (0, 1, 2, 4, 5, 6)] if kind == 1 else [mrd_coordinate(int(w[i]), int(w[i + 1])) for i in (0, 2)]
     return np.hstack([low[:m], high[:m]]).astype(np.int32), about
 
 
@@ -91,6 +92,32 @@ def read_mrd_headers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, device int, channel int, calibration string, name string, unit string, coefficients array<double>")
 
 
+def mrd_about(data: bytes) -> dict:
+    """A file's ship, cruise and PC time as its header writes them, and the first time and position of its packets."""
+    head, packets = split_mrd(data)
+    lines = head.splitlines()
+    ship_name, cruise = re.search(r"Ship    :   (.{0,8})", head), re.search(r"Cruise: (.{0,17})", head)
+    about = mrd_samples(packets)[1]
+    when = "{:04d}-{:02d}-{:02d} {:02d}:{:02d}:{:02d}".format(*about["time"]) if "time" in about else None
+    lat, lon = about.get("position", (None, None))
+    return {
+        "ship": ship_name[1].rstrip("_") if ship_name else None, "cruise": cruise[1].rstrip("_") if cruise else None, "date_pc": lines[2].strip() if len(lines) > 2 else None,
+        "time": when, "latitude": lat, "longitude": lon,
+    }
+
+
+def read_mrd_about(spark: SparkSession, path: str) -> DataFrame:
+    """A row per file: path, ship, cruise, date_pc, time, latitude, longitude."""
+    ship(spark)
+    names = ["path", "ship", "cruise", "date_pc", "time", "latitude", "longitude"]
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([{"path": p} | mrd_about(data) for p, data in zip(b["path"], b["content"], strict=True)], columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, ship string, cruise string, date_pc string, time string, latitude double, longitude double")
+
+
 HEADER_WORDS = 64
 
 
@@ -107,6 +134,12 @@ def p_header(data: bytes) -> dict:
     }
 
 
+def p_timestamp(head: dict) -> tuple[float, str, str]:
+    """Seconds since 1970, date and time of a header, taken as UTC."""
+    when = datetime(*(head[k] for k in ("year", "month", "day", "hour", "minute", "second")), head["millisecond"] * 1000, tzinfo=UTC)
+    return when.timestamp(), when.strftime("%Y-%m-%d"), when.strftime("%H-%M-%S")
+
+
 def parse_setup(text: str) -> dict[str, dict]:
     """Sections of key = value; ; starts a comment; [channel] sections are numbered, rows of [matrix] are lists of numbers."""
     out: dict[str, dict] = {"root": {}}
@@ -134,10 +167,14 @@ def _value(v: str):
     return v
 
 
+def p_setup(data: bytes) -> dict[str, dict]:
+    """The setup that the file carries behind its first header."""
+    return parse_setup(data[128 : 128 + p_header(data)["setup_bytes"]].rstrip(b"\0").decode("utf-8", "replace"))
+
+
 def p_records(data: bytes) -> tuple[dict, dict, np.ndarray]:
     """First header, setup and the data records as (records, words). Truncated files and missing records are refused."""
-    head = p_header(data)
-    setup = parse_setup(data[128 : 128 + head["setup_bytes"]].rstrip(b"\0").decode("utf-8", "replace"))
+    head, setup = p_header(data), p_setup(data)
     start, size = 128 + head["setup_bytes"], head["record_bytes"]
     if (len(data) - start) % size:
         raise ValueError("the file is truncated")
@@ -163,6 +200,22 @@ def p_channels(head: dict, setup: dict, records: np.ndarray) -> Iterator[tuple[s
             yield name, i, len(places) == len(rows) and len(rows) > 1, flat[:, places].ravel()
 
 
+def read_p_setup(spark: SparkSession, path: str) -> DataFrame:
+    """A row per file: path, timestamp (seconds since 1970), date, time, sampfreq (Hz, of fast channels), rows (fast samples to a slow one) and setup (JSON)."""
+    ship(spark)
+    names = ["path", "timestamp", "date", "time", "sampfreq", "rows", "setup"]
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for p, data in zip(b["path"], b["content"], strict=True):
+                head, setup = p_header(data), p_setup(data)
+                out.append([p, *p_timestamp(head), head["clock"] / (head["fast_columns"] + head["slow_columns"]), head["rows"], json.dumps(setup)])
+            yield pd.DataFrame(out, columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, timestamp double, date string, time string, sampfreq double, rows int, setup string")
+
+
 def read_p(spark: SparkSession, path: str) -> DataFrame:
     """path, channel, id, fast, i, time (s), value (counts)."""
     ship(spark)
