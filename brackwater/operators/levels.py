@@ -109,7 +109,7 @@ def temperature_dissipation(slow: DataFrame, noise: DataFrame, cfg: UTempConfig,
             made = [K.temperature_dissipation(np.asarray(k, float), np.asarray(p, float), np.asarray(n, float), cfg.waveno_limit_upper, m) for k, p, n, m in zip(b["waveno"], b["psi_k"], b["noise"], b["__kmax"], strict=True)]
             yield b[rest].assign(**dict(zip(("chi", "eps", "k_batchelor"), zip(*made, strict=True), strict=True)) if made else {"chi": [], "eps": [], "k_batchelor": []})
 
-    return joined.mapInPandas(fit, _types(slow, rest) + ", chi double, eps double, k_batchelor double")
+    return _dealt(joined, [*sensor, "section_number", "chunk"]).mapInPandas(fit, _types(slow, rest) + ", chi double, eps double, k_batchelor double")
 
 
 def filtered(df: DataFrame, keys: list[str], index: str, x: str, out: str, kernel) -> DataFrame:
