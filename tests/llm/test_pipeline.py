@@ -174,3 +174,60 @@ def test_stages_leave_clashing_columns_alone(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.schema == docs.schema and sorted(map(tuple, out.collect())) == rows
     assert {r["doc_id"] for r in corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()} == set(range(12))
+
+
+def test_near_dedup_meets_by_segments_of_simhash_fingerprints(spark, monkeypatch):
+    """Fingerprints and groups by brute force: pairs that agree in a segment and are near meet, unlike texts don't."""
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    r = np.random.default_rng(6)
+    sets = []
+    for n in (1, 3, 5, 14, 16, 60, 300):
+        for _ in range(4):
+            base = r.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+            sets += [base[:n], base[n // 5 :], base]
+    keys = [shingles.band_keys(s) for s in sets]
+    for s, k in zip(sets, keys, strict=True):
+        bits = [sum(mixed(int(h) ^ int(seed)) >> i & 1 for h in s) * 2 > len(s) for seed in shingles._SEEDS[: len(k) // 4] for i in range(64)]
+        assert k.view(np.uint16).tolist() == [sum(b << j for j, b in enumerate(bits[i : i + 16])) for i in range(0, len(bits), 16)]
+
+    same = {}
+    for i, k in enumerate(keys):
+        same.setdefault(k[:8].tobytes(), []).append(i)
+    want = {frozenset(x) for x in same.values() if len(x) > 1}
+    away = lambda x, y: (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+    for s in range(2 * shingles.SEGMENTS):
+        left = [f for f, x in same.items() if len(keys[x[0]]) > s]
+        while left:
+            chain, left = [left[0]], left[1:]
+            for f in chain:
+                near = [g for g in left if keys[same[g][0]][s] == keys[same[f][0]][s] and away(f, g) <= (38 if s < shingles.SEGMENTS else 44)]
+                chain += near
+                left = [g for g in left if g not in near]
+            if len(chain) > 1:
+                want.add(frozenset(i for f in chain for i in same[f]))
+    nodes = spark.createDataFrame([(i, k.tolist()) for i, k in enumerate(keys)], "node long, keys array<short>")
+    got = shingles.grouped(nodes).groupBy("key").agg(F.collect_list("node").alias("nodes")).collect()
+    assert len(want) > 20 and sorted(sorted(x["nodes"]) for x in got) == sorted(map(sorted, want))
+
+    values, close = np.zeros(400, np.uint16), r.integers(0, 1 << 64, (400, 2), np.uint64)
+    values[200:] = 7
+    whole = dict(zip(*map(np.ndarray.tolist, shingles.segment_groups(values, close, 50)), strict=True))
+    monkeypatch.setattr(shingles, "RUN", 1)  # crowded segment values
+    assert len(whole) > 50 and dict(zip(*map(np.ndarray.tolist, shingles.segment_groups(values, close, 50)), strict=True)) == whole
+
+
+@pytest.mark.parametrize("common, a, b", [(4, 0, 1), (12, 0, 3), (20, 2, 3), (264, 33, 33), (264, 0, 66)])
+def test_pairs_at_least_similarity_meet(common, a, b):
+    r = np.random.default_rng(7)
+    for _ in range(200):
+        s = r.integers(0, 1 << 63, common + a + b, dtype=np.uint64)
+        x, y = shingles.band_keys(s[: common + a]), shingles.band_keys(np.concatenate([s[:common], s[common + a :]]))
+        n = min(len(x), len(y))
+        away = np.bitwise_count(x[:8].view(np.uint64) ^ y[:8].view(np.uint64)).sum()
+        few = (x[:n] == y[:n])[shingles.SEGMENTS :]
+        assert ((x[:n] == y[:n])[: shingles.SEGMENTS].any() and away <= shingles.NEAR) or (few.any() and away <= shingles.NEAR_FEW)
