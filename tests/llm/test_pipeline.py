@@ -231,3 +231,27 @@ def test_pairs_at_least_similarity_meet(common, a, b):
         away = np.bitwise_count(x[:8].view(np.uint64) ^ y[:8].view(np.uint64)).sum()
         few = (x[:n] == y[:n])[shingles.SEGMENTS :]
         assert ((x[:n] == y[:n])[: shingles.SEGMENTS].any() and away <= shingles.NEAR) or (few.any() and away <= shingles.NEAR_FEW)
+
+
+def test_near_copies_write_rows_in_proportion_to_texts(spark, monkeypatch):
+    """One large group of texts around 0.8, which meet under many segments: tables grow with the texts, not with the pairs or the segments that they share."""
+    base, r = prose(50, 120).split(), np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for at in r.choice(120, r.integers(1, 4), replace=False):
+            w[at] = f"w{r.integers(0, 1000)}"
+        rows.append((i, " ".join(w)))
+    written, write = [], shingles.materialize
+    monkeypatch.setattr(shingles, "BLOCK_TEXTS", 100)
+    monkeypatch.setattr(shingles, "materialize", lambda df, name: (t := write(df, name), written.append((name, t.count())))[0])
+    monkeypatch.setattr(shingles, "components", lambda links, own=shingles.components: (written.append(("components", links.count())), own(links))[1])
+    got = sorted(x["doc_id"] for x in shingles.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [i for i, _ in one_of_each(rows)]
+    assert max(n for _, n in written) <= 6 * len(rows)
+
+
+def test_fingerprints_numbers_are_those_of_spark(spark):
+    a, b = np.random.default_rng(1).integers(0, 1 << 64, (2, 50), np.uint64)
+    table = spark.createDataFrame(pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}))
+    assert sorted(x[0] for x in table.select(F.xxhash64("a", "b")).collect()) == sorted(shingles._number(a, b).tolist())
