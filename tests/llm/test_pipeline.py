@@ -255,3 +255,44 @@ def test_fingerprints_numbers_are_those_of_spark(spark):
     a, b = np.random.default_rng(1).integers(0, 1 << 64, (2, 50), np.uint64)
     table = spark.createDataFrame(pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}))
     assert sorted(x[0] for x in table.select(F.xxhash64("a", "b")).collect()) == sorted(shingles._number(a, b).tolist())
+
+
+def test_near_dedup_leaves_no_pair_out(spark):
+    """Two texts at 0.8 whose SimHash fingerprints agree in no segment at a near distance: 24 shingles, and the same with 6 more."""
+    r = np.random.default_rng(296733)
+    w = [f"w{x}" for x in r.integers(0, 10**6, 28)]
+    rows = [(0, " ".join(w)), (1, " ".join(w + [f"w{x}" for x in r.integers(0, 10**6, 6)]))]
+    assert jaccard(rows[0][1], rows[1][1]) == 0.8
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert [x["doc_id"] for x in got] == [0]
+
+
+def test_families_hold_all_pairs_at_least_similarity(spark, monkeypatch):
+    """Against brute force, whatever the shingles' order: small and large sets, pairs at just 0.8, and a word that all texts share."""
+    r = np.random.default_rng(12)
+    rows = [" ".join(f"w{x}" for x in r.integers(0, 1000, n)) for n in (1, 2, 4, 5, 6, 8, 9, 12, 14, 19, 24, 30, 54, 104, 204) for _ in range(4)]
+    for t in list(rows):
+        w = t.split()
+        n = max(1, len(w) - 4)
+        rows += [" ".join(["a", *w]), " ".join(w + ["b"] * (n // 4)), " ".join([f"c{k}" for k in range(n // 8)] + w + [f"d{k}" for k in range(n // 8)]), " ".join(w[: len(w) - n // 5])]
+    rows = list(enumerate(dict.fromkeys(rows)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    node = {x["doc_id"]: x["node"] for x in docs.select("doc_id", shingles.text_hash().alias("node")).collect()}
+    sets = [shingle_set(t) for _, t in rows]
+    want = [(i, j) for i in range(len(rows)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert len(want) > 100
+    found = shingles.materialize(shingles.counted(docs), "counted")
+    order = shingles.ranks(found)
+    assert 0 < np.count_nonzero(order) <= sum(map(len, sets))
+    for ranks, per_bucket in ((order, 500_000), (np.zeros_like(order), 1_000)):
+        monkeypatch.setattr(shingles, "PER_BUCKET", per_bucket)
+        key = {x["node"]: x["key"] for x in shingles.families(found.where("part IS NULL"), docs, ranks).collect()}
+        assert all(key[node[i]] == key[node[j]] for i, j in want)
+        assert len(set(key.values())) > 20
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    t = " ".join(f"w{i * 7919}" for i in range(3000)).encode()
+    whole = shingles.shingles(t)
+    monkeypatch.setattr(shingles, "PIECE", 100)
+    assert len(whole) == 2996 and (shingles.shingles(t) == whole).all()
