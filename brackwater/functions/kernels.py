@@ -1,4 +1,4 @@
-"""Numerical kernels on one regularly sampled series; time is the last axis."""
+"""Numerical kernels on regularly sampled series; time is the last axis. Filters, gradients, spectra and despiking take several series of one length at once."""
 
 from __future__ import annotations
 
@@ -53,6 +53,8 @@ def _block_response(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndar
 
 def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
     """Direct form II transposed; a[0] is 1. Whole blocks by matrix products, the rest sample by sample."""
+    if np.ndim(x) > 1:
+        return _lfilter_rows(b, a, np.asarray(x, float), state)
     n = max(len(a), len(b)) - 1
     b, a = (tuple(np.pad(np.asarray(v, float), (0, n + 1 - len(v))).tolist()) for v in (b, a))
     x, z = np.asarray(x, float), np.zeros(n) if state is None else np.asarray(state, float)
@@ -67,6 +69,27 @@ def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | Non
     return np.concatenate([(blocks @ y_of_x + states @ y_of_z).ravel(), rest])
 
 
+def _lfilter_rows(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None) -> np.ndarray:
+    """lfilter() of each row of x, from its row of state."""
+    n = max(len(a), len(b)) - 1
+    b, a = (tuple(np.pad(np.asarray(v, float), (0, n + 1 - len(v))).tolist()) for v in (b, a))
+    z, out = np.zeros((len(x), n)) if state is None else np.asarray(state, float), np.empty_like(x)
+    finite = np.isfinite(x).all(1)
+    y_of_x, z_of_x, y_of_z, z_of_z = _block_response(b, a)
+    for of, m in ((finite, x.shape[1] // BLOCK), (~finite, 0)):  # a sample that isn't finite spoils those after it, not its block
+        if not of.any():
+            continue
+        own, at = x[of], z[of]
+        blocks = own[:, : m * BLOCK].reshape(len(own), m, BLOCK)
+        states, gained = np.empty((len(own), m, n)), blocks @ z_of_x
+        for i in range(m):
+            states[:, i] = at
+            at = at @ z_of_z + gained[:, i]
+        rest, _ = _one_by_one(list(b), list(a), list(own[:, m * BLOCK :].T), list(at.T))
+        out[of] = np.concatenate([(blocks @ y_of_x + states @ y_of_z).reshape(len(own), -1), np.array(rest).reshape(-1, len(own)).T], 1)
+    return out
+
+
 def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     """The state in which a constant 1 gives a constant answer."""
     gain = b.sum() / a.sum()
@@ -77,18 +100,19 @@ def _there_and_back(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray
     """Sections forwards, then backwards, each from its steady state, with odd extension by pad samples. The first sample is taken off before and comes back
     with the filter's gain, so that what is constant leaves no rounding errors."""
     x = np.asarray(x, float)
-    if len(x) <= pad:
+    n = x.shape[-1]
+    if n <= pad:
         raise ValueError(f"the series must be longer than {pad} samples")
-    level, x = x[0], x - x[0]
-    y = np.concatenate([-x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    level, x = x[..., :1], x - x[..., :1]
+    y = np.concatenate([-x[..., pad:0:-1], x, 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1]], -1)
     for _ in range(2):
-        at = y[0]
+        at = y[..., :1]
         for b, a in sections:
             gain = b.sum() / a.sum()
             y = lfilter(b, a, y, steady_state(b, a) * at)
             at, level = at * gain, level * gain
-        y = y[::-1]
-    return y[pad : len(y) - pad] + level
+        y = y[..., ::-1]
+    return y[..., pad : n + pad] + level
 
 
 def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray, pad: int | None = None) -> np.ndarray:
@@ -129,7 +153,7 @@ def variance_conserving(psi: np.ndarray, df: float, x: np.ndarray) -> np.ndarray
 
 
 def gradient(x: np.ndarray, dt: float) -> np.ndarray:
-    return np.gradient(x, dt)
+    return np.gradient(x, dt, axis=-1)
 
 
 def fft_gradient(x: np.ndarray, dt: float) -> np.ndarray:
@@ -156,7 +180,7 @@ def shear_from_probe(signal: np.ndarray, speed: np.ndarray, density: np.ndarray,
 def deconvolve(x: np.ndarray, emphasized: np.ndarray, fs: float, gain: float) -> np.ndarray:
     """The signal behind its pre-emphasized copy: a causal low-pass at 1 / (2 pi gain) that starts from x's first sample."""
     b, a = butter1(1 / (2 * np.pi * gain), fs, "low")
-    return lfilter(b, a, emphasized, np.array([b[1] * emphasized[0] - a[1] * x[0]]))
+    return lfilter(b, a, emphasized, b[1] * emphasized[..., :1] - a[1] * x[..., :1])
 
 
 def deconvolve_fitted(x: np.ndarray | None, emphasized: np.ndarray, fs: float, gain: float) -> np.ndarray:
@@ -243,11 +267,14 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def enlarge(flags: np.ndarray, before: int, after: int) -> np.ndarray:
     """True spreads `before` samples back and `after` on."""
-    edge = np.zeros(len(flags) + 1, np.int64)
-    for a, z in runs(flags):
-        edge[max(0, a - before)] += 1
-        edge[min(len(flags), z + after)] -= 1
-    return np.cumsum(edge[:-1]) > 0
+    flags = np.asarray(flags, np.int8)
+    rows, n = flags.reshape(-1, flags.shape[-1]), flags.shape[-1]
+    turn = np.diff(rows, axis=1, prepend=0, append=0)
+    edge = np.zeros((len(rows), n + 1), np.int64)
+    (r, a), (s, z) = np.nonzero(turn == 1), np.nonzero(turn == -1)
+    np.add.at(edge, (r, np.maximum(0, a - before)), 1)
+    np.add.at(edge, (s, np.minimum(n, z + after)), -1)
+    return (np.cumsum(edge[:, :-1], axis=1) > 0).reshape(flags.shape)
 
 
 def spikes(x: np.ndarray, fs: float, threshold: float, cutoff_lp: float, before: int, after: int) -> np.ndarray:
@@ -268,13 +295,17 @@ def replace_runs(x: np.ndarray, flags: np.ndarray, before: int, after: int) -> n
 
 def despike(x: np.ndarray, fs: float, threshold: float, max_tries: int, replace: tuple[int, int], include: tuple[int, int], cutoff_lp: float) -> tuple[np.ndarray, np.ndarray]:
     """The series without spikes, and how often each sample was replaced."""
-    tries = np.zeros(len(x), np.int64)
-    found = spikes(x, fs, threshold, cutoff_lp, *include)
-    while found.any() and (tries <= max_tries).all():
-        x = replace_runs(x, found, *replace)
-        tries[found] += 1
-        found = spikes(x, fs, threshold, cutoff_lp, *include)
-    return x, tries
+    rows = np.array(x, float).reshape(-1, np.shape(x)[-1])
+    tries = np.zeros(rows.shape, np.int64)
+    found = spikes(rows, fs, threshold, cutoff_lp, *include)
+    live = np.flatnonzero(found.any(1))
+    while len(live):
+        for r in live:
+            rows[r] = replace_runs(rows[r], found[r], *replace)
+        tries[live] += found[live]
+        found[live] = spikes(rows[live], fs, threshold, cutoff_lp, *include)
+        live = live[found[live].any(1) & (tries[live] <= max_tries).all(1)]
+    return rows.reshape(np.shape(x)), tries.reshape(np.shape(x))
 
 
 _STEP = 1 / 512
@@ -296,12 +327,17 @@ def erf(x: np.ndarray) -> np.ndarray:
 BATCHELOR_Q, DIFFUSIVITY, VISCOSITY = 3.7, 1.4e-7, 1.6e-6
 
 
-def batchelor(k: np.ndarray, chi: float, kb: float | np.ndarray) -> np.ndarray:
-    """Temperature-gradient spectrum for a dissipation rate chi and a Batchelor wavenumber kb (or a column of them); no value at k = 0."""
-    eps = kb**4 * VISCOSITY * DIFFUSIVITY**2
+def _tail(k: np.ndarray, kb: float | np.ndarray) -> np.ndarray:
     q = BATCHELOR_Q
     with np.errstate(divide="ignore", invalid="ignore"):
-        tail = q * kb / k * np.exp(-q * k**2 / kb**2) + np.sqrt(np.pi) * q**1.5 * (erf(np.sqrt(q) * k / kb) - 1)
+        return q * kb / k * np.exp(-q * k**2 / kb**2) + np.sqrt(np.pi) * q**1.5 * (erf(np.sqrt(q) * k / kb) - 1)
+
+
+def batchelor(k: np.ndarray, chi: float | np.ndarray, kb: float | np.ndarray, tail: np.ndarray | None = None) -> np.ndarray:
+    """Temperature-gradient spectrum for a dissipation rate chi and a Batchelor wavenumber kb (or a column of them); no value at k = 0. tail: that of k and kb."""
+    eps = kb**4 * VISCOSITY * DIFFUSIVITY**2
+    tail = _tail(k, kb) if tail is None else tail
+    with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(k == 0, np.nan, chi * np.sqrt(VISCOSITY / eps) / kb * k**2 * tail)
 
 
@@ -323,18 +359,36 @@ def fit_batchelor(k: np.ndarray, psi: np.ndarray, noise: np.ndarray, chi: float,
     return float(tries[int(np.argmax(likelihood(psi, batchelor(k, chi, tries[:, None]) + noise)))])
 
 
-def temperature_dissipation(k: np.ndarray, psi: np.ndarray, noise: np.ndarray, limit: float, kmax: float) -> tuple[float, float, float]:
-    """chi, eps and the Batchelor wavenumber of one spectrum: integrate up to where noise takes over (the last bin, if it always does), fit, add the model's
-    ends, below the first bin from three times k* on and from the last bin on, and fit again."""
-    clear = np.flatnonzero(psi > 2 * noise)
-    k_hi = min(k[clear[-1]] if len(clear) else k[-1], limit)
-    chi = 6 * DIFFUSIVITY * integrate(psi, k, k[1], k_hi)
-    if chi < 0:
-        chi = 6 * DIFFUSIVITY * integrate(noise, k, k[1], k_hi)
-    kb = fit_batchelor(k, psi, noise, chi, kmax)
+FITS = 256  # spectra that are fitted at once
+
+
+def temperature_dissipation(k: np.ndarray, psi: np.ndarray, noise: np.ndarray, limit: float, kmax: float | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """chi, eps and the Batchelor wavenumber of one spectrum or of several, a row each: integrate up to where noise takes over (the last bin, if it always does), fit,
+    add the model's ends, below the first bin from three times k* on and from the last bin on, and fit again."""
+    if np.ndim(k) == 1:
+        return tuple(float(v[0]) for v in temperature_dissipation(k[None], psi[None], noise[None], limit, kmax))
+    kmax = np.broadcast_to(np.asarray(kmax, float), len(k))
+    if len(k) > FITS:
+        parts = [temperature_dissipation(k[i : i + FITS], psi[i : i + FITS], noise[i : i + FITS], limit, kmax[i : i + FITS]) for i in range(0, len(k), FITS)]
+        return tuple(np.concatenate(v) for v in zip(*parts, strict=True))
+    area = lambda y, lo, hi: np.trapezoid(np.where((k >= lo) & (k <= hi), y, 0), k, axis=-1)
+    first, last = k[:, 1:2], k[:, -1:]
+    clear = psi > 2 * noise
+    k_hi = np.take_along_axis(k, np.where(clear.any(1), k.shape[1] - 1 - np.argmax(clear[:, ::-1], axis=1), k.shape[1] - 1)[:, None], 1)
+    k_hi = np.where(limit < k_hi, limit, k_hi)
+    chi = 6 * DIFFUSIVITY * area(psi, first, k_hi)
+    chi = np.where(chi < 0, 6 * DIFFUSIVITY * area(noise, first, k_hi), chi)
+    tries = np.linspace(kmax / 600, kmax, 100, axis=-1)
+    tail = _tail(k[:, None], tries[..., None])  # that of both fits
+
+    def fit() -> np.ndarray:
+        like = likelihood(psi[:, None], batchelor(k[:, None], chi[:, None, None], tries[..., None], tail) + noise[:, None])
+        return np.take_along_axis(tries, np.argmax(like, axis=1)[:, None], 1)
+
+    kb = fit()
     least = 3 * 0.04 * np.sqrt(DIFFUSIVITY / VISCOSITY) * kb
-    k_lo = k[np.argmax(k >= least)] if least >= k[1] else k[1]
-    model = batchelor(k, chi, kb)
-    chi += 6 * DIFFUSIVITY * (integrate(model, k, 1e-3, k_lo) + integrate(model, k, k[-1], 2000.0))
-    kb = fit_batchelor(k, psi, noise, chi, kmax)
+    k_lo = np.where(least >= first, np.take_along_axis(k, np.argmax(k >= least, axis=1)[:, None], 1), first)
+    model = batchelor(k, chi[:, None], kb)
+    chi = chi + 6 * DIFFUSIVITY * (area(model, 1e-3, k_lo) + area(model, last, 2000.0))
+    kb = fit()[:, 0]
     return chi, kb**4 * VISCOSITY * DIFFUSIVITY**2, kb

@@ -1,9 +1,11 @@
-"""Levels 2 and 3: one grouped Arrow kernel per section and sensor, from samples to spectra. A section fits a worker; casts are independent."""
+"""Levels 2 and 3: Arrow kernels over sections and sensors, those of one length at once, from samples to spectra. A section fits a worker; casts are independent."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +24,73 @@ def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+ROWS = 1 << 18  # samples that a task gathers before kernels run
+
+
+def values(t: pa.Table, name: str) -> np.ndarray:
+    """A column as doubles, null as NaN."""
+    return t[name].to_numpy().astype(float)
+
+
+def by_series(df: DataFrame, keys: list[str], index: str, run: Callable[[pa.Table, list[np.ndarray]], dict], schema: str) -> DataFrame:
+    """run() over whole series, one for each combination of keys, in the order of index. It gets a table of many series and, for each length, the rows of those
+    that are so long (a line per series), and returns columns: a call of its own for each series would cost more than short series themselves."""
+    ordered = _dealt(df, keys).sortWithinPartitions(*keys, index)
+
+    def begins(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        for k in keys:
+            code = t[k].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new |= np.diff(code, prepend=code[0] - 1) != 0
+        return np.flatnonzero(new)
+
+    def made(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(np.append(starts, t.num_rows))
+        columns = run(t, [starts[sizes == n][:, None] + np.arange(n) for n in np.unique(sizes)])
+        out = pa.table({c: pa.array(v, from_pandas=True) if isinstance(v, np.ndarray) else v for c, v in columns.items()})  # NaN is null
+        if out.num_rows:
+            yield from out.to_batches(max_chunksize=1 << 16)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, enough = [], 0, ROWS
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            if rows >= enough:
+                t = pa.Table.from_batches(held).combine_chunks()
+                starts = begins(t)
+                if len(starts) > 1:  # the last series may go on
+                    yield from made(t.slice(0, starts[-1]), starts[:-1])
+                    t = t.slice(starts[-1]).combine_chunks()
+                held, rows = t.to_batches(), t.num_rows
+                enough = max(ROWS, 2 * rows)
+        if rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from made(t, begins(t))
+
+    return ordered.mapInArrow(compute, schema)
+
+
 def clean_shear(fast: DataFrame, cfg: ShearConfig, keys: list[str], index: str = "i") -> DataFrame:
     """Level 2: despiked, high-passed shear and num_despike_iter. Section 0 keeps NaN and 0."""
     ship(fast.sparkSession)
     rest = [c for c in fast.columns if c not in ("shear", "num_despike_iter")]
     schema = _types(fast, rest) + ", shear double, num_despike_iter int"
 
-    def clean(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(index, kind="stable")
-        x, tries = np.full(len(g), np.nan), np.zeros(len(g), np.int64)
-        if g["section_number"].iloc[0] != 0 and len(g) > 6:
-            x, tries = K.despike(g["shear"].to_numpy(), cfg.sampfreq, cfg.spike_threshold, cfg.max_tries, (cfg.spike_replace_before, cfg.spike_replace_after), (cfg.spike_include_before, cfg.spike_include_after), cfg.cutoff_freq_lp)
-            x = K.butterfilt(x, 0.5 * cfg.sampfreq / cfg.segment_length, cfg.sampfreq, "high")
-        return g[rest].assign(shear=x, num_despike_iter=tries.astype(np.int32))
+    def clean(t: pa.Table, lengths: list[np.ndarray]) -> dict:
+        shear, section = values(t, "shear"), t["section_number"].to_numpy()
+        out, all_tries = np.full(len(shear), np.nan), np.zeros(len(shear), np.int32)
+        for at in lengths:
+            at = at[section[at[:, 0]] != 0]
+            if len(at) and at.shape[1] > 6:
+                x, tries = K.despike(shear[at], cfg.sampfreq, cfg.spike_threshold, cfg.max_tries, (cfg.spike_replace_before, cfg.spike_replace_after), (cfg.spike_include_before, cfg.spike_include_after), cfg.cutoff_freq_lp)
+                out[at] = K.butterfilt(x, 0.5 * cfg.sampfreq / cfg.segment_length, cfg.sampfreq, "high")
+                all_tries[at] = tries
+        return {c: t[c] for c in rest} | {"shear": out, "num_despike_iter": all_tries}
 
-    return _dealt(fast.select(*rest, "shear"), [*keys, "section_number"]).groupBy(*keys, "section_number").applyInPandas(clean, schema)
+    return by_series(fast.select(*rest, "shear"), [*keys, "section_number"], index, clean, schema)
 
 
 def chunk_spectra(fast: DataFrame, cfg: SegmentConfig, keys: list[str], x: str, y: str | None = None, index: str = "i", conserve: bool = True) -> DataFrame:
@@ -47,28 +101,33 @@ def chunk_spectra(fast: DataFrame, cfg: SegmentConfig, keys: list[str], x: str,
     schema = f"{_types(fast, keys)}, section_number int, chunk bigint, time {fast.schema['time'].dataType.simpleString()}, senspeed double, freq array<double>, psi_f array<double>, psi_im array<double>, spike_fraction double, max_despike_iter int"
     length, step = cfg.chunk_length, cfg.chunk_length - cfg.chunk_overlap
 
-    def spectra(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(index, kind="stable")
-        n = max(0, (len(g) - length) // step + 1)
-        if not n:
-            return pd.DataFrame(columns=names)
-        cut = lambda c: np.lib.stride_tricks.sliding_window_view(g[c].to_numpy(float), length)[::step]
-        v = cut(x)
-        f, p = K.welch(v, cfg.sampfreq, cfg.segment_length, cfg.segment_overlap, cut(y) if y else None)
+    def spectra(t: pa.Table, lengths: list[np.ndarray]) -> dict:
+        own = {c: values(t, c) for c in {x, "senspeed", *([y] if y else []), *extra}}
+        parts = [part(own, at) for at in lengths if at.shape[1] >= length]
+        if not parts:
+            return {n: [] for n in names}
+        first, mid, chunk, freq, *arrays, speed, spiked, most = (np.concatenate(v) for v in zip(*parts, strict=True))
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel(), from_pandas=True)) for v in (freq, *arrays)]
+        heads = t.select([*keys, "section_number"]).take(pa.array(first))
+        return {c: heads[c] for c in heads.column_names} | dict(zip(names[len(keys) + 1 :], (chunk, t["time"].take(pa.array(mid)), speed, *lists, spiked, most), strict=True))
+
+    def part(own: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, ...]:
+        cut = lambda v: np.lib.stride_tricks.sliding_window_view(v[at], length, -1)[:, ::step]
+        v = cut(own[x])
+        n = v.shape[0] * v.shape[1]
+        f, p = K.welch(v, cfg.sampfreq, cfg.segment_length, cfg.segment_overlap, cut(own[y]) if y else None)
         im, p = np.imag(p), np.real(p)
         if conserve and not y:
             with np.errstate(divide="ignore", invalid="ignore"):
                 p = K.variance_conserving(p, f[1] - f[0], v)
-        tries = cut(extra[0]) if extra else np.zeros((n, 1))
-        first = g.iloc[0]
-        return pd.DataFrame({
-            **{k: [first[k]] * n for k in keys}, "section_number": int(first["section_number"]), "chunk": np.arange(n), "time": g["time"].to_numpy()[length // 2 :: step][:n], "senspeed": cut("senspeed").mean(1),
-            "freq": [f] * n, "psi_f": list(p), "psi_im": list(im), "spike_fraction": (tries > 0).sum(1) / length, "max_despike_iter": tries.max(1).astype(np.int32),
-        })[names]
+        tries = cut(own[extra[0]]) if extra else np.zeros((*v.shape[:2], 1))
+        flat = lambda w: np.ascontiguousarray(w).reshape(n, *w.shape[2:])
+        firsts = np.repeat(at[:, 0], v.shape[1])
+        mids = flat(at[:, length // 2 :: step][:, : v.shape[1]])
+        return firsts, mids, np.tile(np.arange(v.shape[1]), len(at)), np.tile(f, (n, 1)), flat(p), flat(im), flat(cut(own["senspeed"]).mean(-1)), flat((tries > 0).sum(-1) / length), flat(tries.max(-1).astype(np.int32))
 
     names = [*keys, "section_number", "chunk", "time", "senspeed", "freq", "psi_f", "psi_im", "spike_fraction", "max_despike_iter"]
-    own = [*keys, "section_number"]
-    return _dealt(fast.where("section_number <> 0").select(*cols), own).groupBy(*own).applyInPandas(spectra, schema)
+    return by_series(fast.where("section_number <> 0").select(*cols).withColumn("section_number", F.col("section_number").cast("int")), [*keys, "section_number"], index, spectra, schema)
 
 
 def shear_wavenumber(slow: DataFrame, cfg: ShearConfig) -> DataFrame:
@@ -106,8 +165,11 @@ def temperature_dissipation(slow: DataFrame, noise: DataFrame, cfg: UTempConfig,
 
     def fit(batches):
         for b in batches:
-            made = [K.temperature_dissipation(np.asarray(k, float), np.asarray(p, float), np.asarray(n, float), cfg.waveno_limit_upper, m) for k, p, n, m in zip(b["waveno"], b["psi_k"], b["noise"], b["__kmax"], strict=True)]
-            yield b[rest].assign(**dict(zip(("chi", "eps", "k_batchelor"), zip(*made, strict=True), strict=True)) if made else {"chi": [], "eps": [], "k_batchelor": []})
+            made = ([], [], [])
+            if len(b):
+                stacked = (np.stack([np.asarray(v, float) for v in b[c]]) for c in ("waveno", "psi_k", "noise"))
+                made = K.temperature_dissipation(*stacked, cfg.waveno_limit_upper, b["__kmax"].to_numpy(float))
+            yield b[rest].assign(**dict(zip(("chi", "eps", "k_batchelor"), made, strict=True)))
 
     return _dealt(joined, [*sensor, "section_number", "chunk"]).mapInPandas(fit, _types(slow, rest) + ", chi double, eps double, k_batchelor double")
 
@@ -117,8 +179,11 @@ def filtered(df: DataFrame, keys: list[str], index: str, x: str, out: str, kerne
     ship(df.sparkSession)
     rest = df.columns
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(index, kind="stable")
-        return g.assign(**{out: kernel(g[x].to_numpy(float))})
+    def run(t: pa.Table, lengths: list[np.ndarray]) -> dict:
+        v, made = values(t, x), np.empty(t.num_rows)
+        for at in lengths:
+            for r in at:
+                made[r] = kernel(v[r])
+        return {c: t[c] for c in rest} | {out: made}
 
-    return _dealt(df, keys).groupBy(*keys).applyInPandas(run, f"{_types(df, rest)}, {out} double")
+    return by_series(df, keys, index, run, f"{_types(df, rest)}, {out} double")
