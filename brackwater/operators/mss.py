@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from ..functions import seawater as W
 from ..shipping import ship
 from ..sources import raw
 from . import calibration as C
-from .levels import _dealt, _types
+from .levels import _types, by_series, values
 
 #: Names by which headers call the sensors, the first one found being taken. Fixed values.
 CTD_NAMES = {"press": ["PRESS", "P250", "P1000"], "temp": ["TEMP", "NTC"], "cond": ["COND"]}
@@ -141,28 +142,29 @@ def level1(fast: DataFrame, device: MssDevice, keys: list[str] | None = None, ex
     used = list(dict.fromkeys([*keys, "i", *ctd.values(), *names, *(["NTC", "NTCHP"] if heat else []), *([external] if external else [])]))
     schema = f"{_types(fast, [*keys, 'i'])}, " + ", ".join(f"`{c}` double" for c in ["time", "senspeed", *ctd, *SEAWATER, "utemp", *names])
 
-    def cast(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("i", kind="stable")
-        n, out = len(g), g[[*keys, "i"]].copy()
-        of = lambda c: g[c].to_numpy(float)
-        out["time"] = of("i") / fs
-        for q, c in ctd.items():
-            out[q] = of(c)
-        out = out.assign(**W.properties(of(ctd["cond"]), of(ctd["temp"]), of(ctd["press"]), anomaly))
-        if device.speed == "constant":
-            u = np.full(n, device.constant_speed)
-        elif device.speed == "external" and external:
-            u = of(external)
-        else:
-            u = K.sink_speed(of(ctd["press"]), fs) if n > 15 else np.full(n, np.nan)
-        out["senspeed"] = u
-        for s in names:
-            v = K.shear_from_probe(of(s), u, out["density"].to_numpy(), fs) if n > 15 else np.full(n, np.nan)
-            out[s] = np.where(np.isinf(v), np.nan, v)
-        out["utemp"] = K.deconvolve(of("NTC"), of("NTCHP"), fs, device.gain_utemp) if heat else np.nan
-        return out
-
-    return _dealt(fast.select(*[F.col(f"`{c}`") for c in used]), keys).groupBy(*keys).applyInPandas(cast, schema)
+    def casts(t: pa.Table, lengths: list[np.ndarray]) -> dict:
+        own = {c: values(t, c) for c in used if c not in keys}
+        out = {"time": own["i"] / fs, "senspeed": np.full(t.num_rows, np.nan), **{q: own[c] for q, c in ctd.items()}}
+        out |= W.properties(own[ctd["cond"]], own[ctd["temp"]], own[ctd["press"]], anomaly)
+        out |= {c: np.full(t.num_rows, np.nan) for c in ["utemp", *names]}
+        for at in lengths:
+            long = at.shape[1] > 15
+            if device.speed == "constant":
+                u = np.full(at.shape, float(device.constant_speed))
+            elif device.speed == "external" and external:
+                u = own[external][at]
+            else:
+                u = K.sink_speed(out["press"][at], fs) if long else np.full(at.shape, np.nan)
+            out["senspeed"][at] = u
+            for s in names:
+                v = K.shear_from_probe(own[s][at], u, out["density"][at], fs) if long else np.full(at.shape, np.nan)
+                out[s][at] = np.where(np.isinf(v), np.nan, v)
+            if heat:
+                out["utemp"][at] = K.deconvolve(own["NTC"][at], own["NTCHP"][at], fs, device.gain_utemp)
+        kept = ["time", "senspeed", *ctd, *SEAWATER, "utemp", *names]
+        return {c: t[c] for c in [*keys, "i"]} | {c: out[c] for c in kept}
+
+    return by_series(fast.select(*[F.col(f"`{c}`") for c in used]), keys, "i", casts, schema)
 
 
 def shear_rows(one: DataFrame, device: MssDevice) -> DataFrame:
