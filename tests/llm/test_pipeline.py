@@ -296,3 +296,14 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     whole = shingles.shingles(t)
     monkeypatch.setattr(shingles, "PIECE", 100)
     assert len(whole) == 2996 and (shingles.shingles(t) == whole).all()
+
+
+def test_large_sets_meet_though_some_shingles_are_the_same_32_bits():
+    """Of two sets of 5,000, the 198 shingles that they have to share are entered; two pairs of them are the same within their bucket."""
+    cls = int(shingles._class(5_000.0))
+    n = int(shingles._SHARED[cls])
+    keys = np.arange(n, dtype=np.uint32)
+    keys[[1, 3]] = keys[[0, 2]]
+    u, v, shared, needed = shingles.prefix_links(np.tile(keys, 2), np.repeat([7, 9], n), np.full(2 * n, cls, np.uint8))
+    assert n > 100 and (u.tolist(), v.tolist(), shared.tolist()) == ([9], [7], [n - 2])
+    assert needed[0] <= shared[0]
