@@ -135,10 +135,13 @@ def only(df: DataFrame, key: list[Column], listed: DataFrame) -> DataFrame:
 
 
 def without(df: DataFrame, key: list[Column], listed: DataFrame) -> DataFrame:
-    """Rows whose key isn't in the list."""
+    """Rows whose key isn't in the list. What is listed hardly moves: keys of rows that pass maybe() in vain are marked, too, and rows without such a mark are surely listed."""
     other, same = _equal(key, listed)
     may, not_ = maybe(df, key, listed)
-    return not_.unionByName(may.join(other, same, "left_anti"))
+    names = [f"__k{i}" for i in range(len(key))]
+    vain = materialize(may.select(*(k.alias(n) for k, n in zip(key, names, strict=True))).join(*_equal([F.col(n) for n in names], listed), "left_anti").distinct(), "vain")
+    unsure, _ = maybe(may, key, vain)
+    return not_.unionByName(unsure.join(other, same, "left_anti"))
 
 
 def fold(doc_id: str | Column, n: int = 5) -> Column:

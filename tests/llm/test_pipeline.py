@@ -1,5 +1,6 @@
 """run() of the pipeline against a brute-force version of all five stages."""
 
+import os
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from test_operators import brute_fingerprint, brute_rules, hits
 
 import corpus_pipeline
-from brackwater.llm import quality_gam, shingles
+from brackwater.llm import common, quality_gam, shingles, simhash
 from brackwater.llm.features import features
 from brackwater.llm.queries import tokenizer_path
 
@@ -307,3 +308,53 @@ def test_large_sets_meet_though_some_shingles_are_the_same_32_bits():
     u, v, shared, needed = shingles.prefix_links(np.tile(keys, 2), np.repeat([7, 9], n), np.full(2 * n, cls, np.uint8))
     assert n > 100 and (u.tolist(), v.tolist(), shared.tolist()) == ([9], [7], [n - 2])
     assert needed[0] <= shared[0]
+
+
+def test_near_dedup_leaves_only_lists_behind(spark, monkeypatch):
+    """Tables of texts, hashes and links go once they are read, also where a family's blocks aren't joined; what the result still reads is lists of rows."""
+    monkeypatch.setattr(shingles, "BLOCK_TEXTS", 3)
+    r, rows = np.random.default_rng(4), []
+    base = prose(100, 80).split()
+    for i in range(60):
+        w = list(base)
+        for at in r.choice(80, r.integers(1, 4), replace=False):
+            w[at] = f"w{r.integers(0, 3)}"
+        rows.append((i, " ".join(w)))
+    written, write = [], common.materialize
+    keep = lambda df, name: (t := write(df, name), written.append((name, t._written_to)))[0]
+    for module in (common, shingles, simhash):
+        monkeypatch.setattr(module, "materialize", keep)
+    got = shingles.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    there = {name for name, path in written if os.path.exists(path.removeprefix("file:"))}
+    assert "unjoined" in dict(written) and "crowded" in dict(written) and there <= {"gone", "vain", "marks"}
+    assert sorted(x["doc_id"] for x in got.collect()) == [i for i, _ in one_of_each(rows)]
+
+
+def shuffled(plan):
+    """Bytes that a plan that has run wrote for its exchanges."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleBytesWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("marks", [1 << 26, 1 << 9])
+def test_rows_are_taken_out_without_moving_them(spark, monkeypatch, marks):
+    """Half of the rows are listed; few marks, so that many rows pass in vain, change nothing."""
+    monkeypatch.setattr(common, "MARKS", marks)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = np.random.default_rng(2)
+        path = common.materialize(spark.createDataFrame([(i if i % 7 else None, r.bytes(4_000).hex()) for i in range(600)], "id long, text string"), "rows")
+        key = [F.col("id"), shingles.text_hash("text")]
+        listed = common.materialize(path.where("coalesce(id, 0) % 2 = 0").select("id", shingles.text_hash("text").alias("h")), "listed")
+        out = common.without(path, key, listed)
+        assert sorted(x["id"] for x in out.collect()) == [i for i in range(600) if i % 7 and i % 2]
+        if marks > 1 << 20:
+            assert shuffled(out._jdf.queryExecution().executedPlan()) < 200_000  # the listed texts are 2.7 MB
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
